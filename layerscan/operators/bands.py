@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,32 +22,36 @@ from layerscan.operators.stencil import with_means
 from layerscan.params import Params
 from layerscan.schema import FRAME
 
+def bands_of(params: Params) -> Column:
+    """Numbers of the bands that hold rows of an image, as an array.
+
+    The last one may hold halo rows only; it serves a taller neighbour layer.
+    """
+    last = F.floor((F.col("height") - 1 + params.reach) / params.band_rows)
+    return F.sequence(F.lit(0), last.cast("int"))
+
+
+def band_slice(band: Column, params: Params) -> tuple[Column, Column]:
+    """First image row in a band, and the packed rows with their halo.
+
+    Halo rows exist as far as the image goes. All of it is slicing in the JVM.
+    """
+    first = band * params.band_rows
+    top = F.greatest(first - params.reach, F.lit(0))
+    end = F.least(first + (params.band_rows + params.reach), F.col("height"))
+    row_bytes = F.col("width") * SAMPLE.itemsize
+    rows = F.col("temps").substr(top * row_bytes + 1, (end - top) * row_bytes)
+    return top, rows
+
+
 def split_bands(
     frames: DataFrame, params: Params = Params(), image: Sequence[str] = FRAME
 ) -> DataFrame:
-    """Packed frames to packed bands.
-
-    Each band carries rows ``top .. top + n`` of the image: its own rows and
-    the halo, as far as the image goes. A last band may hold halo rows only;
-    it serves a taller neighbour layer. All of it is slicing in the JVM.
-    """
-    size, reach = params.band_rows, params.reach
-    first = F.col("band") * size
-    top = F.greatest(first - reach, F.lit(0))
-    end = F.least(first + (size + reach), F.col("height"))
-    start_byte = top * F.col("width") * SAMPLE.itemsize + 1
-    n_bytes = (end - top) * F.col("width") * SAMPLE.itemsize
-    bands = F.sequence(F.lit(0), F.expr(f"cast((height - 1 + {reach}) div {size} as int)"))
+    """Packed frames to packed bands: ``band``, its first row ``top``, its ``rows``."""
+    top, rows = band_slice(F.col("band"), params)
     return frames.select(
-        *image, "width", "height", F.explode(bands).alias("band"), "temps"
-    ).select(
-        *image,
-        "width",
-        "height",
-        "band",
-        top.cast("int").alias("top"),
-        F.col("temps").substr(start_byte.cast("int"), n_bytes.cast("int")).alias("rows"),
-    )
+        *image, "width", "height", F.explode(bands_of(params)).alias("band"), "temps"
+    ).select(*image, "width", "height", "band", top.alias("top"), rows.alias("rows"))
 
 
 def band_windows(frames: DataFrame, params: Params = Params()) -> DataFrame:

@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 from layerscan.session import materialize
 
 
-def component_labels(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+def component_labels(
+    edges: DataFrame, by: Sequence[str], one_block: bool = False
+) -> DataFrame:
     """``(by, node, label)`` for every node that has an edge.
 
     ``edges`` holds ``a, b`` and the block of each end, ``a_block`` and
-    ``b_block``. ``label`` is the smallest node of the component.
+    ``b_block``. ``label`` is the smallest node of the component. With
+    ``one_block`` the caller knows that no edge leaves its block.
     """
     by = list(by)
+    if one_block:
+        return _labels_in_blocks(edges, by)
     edges = materialize(edges, "edges")
     crossing = F.col("a_block") != F.col("b_block")
     local = _labels_in_blocks(edges.filter(~crossing), by)

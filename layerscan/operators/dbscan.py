@@ -18,6 +18,7 @@ from layerscan.functions.pixel import point_id
 from layerscan.operators.components import component_labels
 from layerscan.operators.neighbours import (
     POINT_SET,
+    as_targets,
     cell_side,
     explode_cells,
     mark_core,
@@ -39,55 +40,52 @@ def dbscan(
     """
     eps, by = params.dbscan_eps, list(by)
     marked = materialize(mark_core(points, eps, params.dbscan_min_pts, by), "marked")
-    cells = cell_clusters(marked.filter("is_core"), params, by)
-    core = marked.filter("is_core").join(cells, [*by, "cx", "cy"])
+    far = (F.col("cx") >= params.block_cells) | (F.col("cy") >= params.block_cells)
+    far |= (F.col("cx") < 0) | (F.col("cy") < 0)
+    core = with_cell_nodes(marked.filter("is_core"), by)
+    edges = cell_edges(core, params, by)
+    labels = component_labels(edges, by, one_block=marked.filter(far).isEmpty())
+    core = core.join(labels, [*by, "node"], "left").select(
+        *by, "cx", "cy", "x", "y", F.coalesce("label", "node").alias("cluster_id"), "is_core"
+    )
+    core = materialize(core, "core")
     border = border_clusters(marked.filter(~F.col("is_core")), core, eps, by)
     columns = [*by, "x", "y", "cluster_id", "is_core"]
     return core.select(*columns).unionByName(border.select(*columns))
 
 
-def cell_clusters(core: DataFrame, params: Params, by: Sequence[str] = POINT_SET) -> DataFrame:
-    """``(by, cx, cy, cluster_id)`` of every cell with core points."""
-    cell = [*by, "cx", "cy"]
-    labels = component_labels(cell_edges(core, params, by), by)
-    cells = core.groupBy(*cell).agg(F.min(point_id(F.col("x"), F.col("y"))).alias("node"))
-    return cells.join(labels, [*by, "node"], "left").select(
-        *cell, F.coalesce("label", "node").alias("cluster_id")
+def with_cell_nodes(core: DataFrame, by: Sequence[str] = POINT_SET) -> DataFrame:
+    """Core points with ``node``, the smallest core point of their cell."""
+    cell = Window.partitionBy(*by, "cx", "cy")
+    return core.repartition(*(F.col(c) for c in by)).withColumn(
+        "node", F.min(point_id(F.col("x"), F.col("y"))).over(cell)
     )
 
 
 def cell_edges(core: DataFrame, params: Params, by: Sequence[str] = POINT_SET) -> DataFrame:
-    """Connected pairs of cells, each named by its smallest core point."""
+    """Connected pairs of cells, each named by its ``node``."""
     eps = params.dbscan_eps
     by, cell = list(by), [*by, "cx", "cy"]
     near = near_cells(cell_side(eps), eps)
-    named = core.withColumn(
-        "node", F.min(point_id(F.col("x"), F.col("y"))).over(Window.partitionBy(*cell))
-    )
 
     def meet(line: str, along: str, steps: list[tuple[int, int]]) -> DataFrame:
         """Last points of each line of a cell against first points of later cells."""
-        lines = named.groupBy(*cell, "node", line).agg(
+        lines = core.groupBy(*cell, "node", line).agg(
             F.min(along).alias("first"), F.max(along).alias("last")
         )
-        block = F.struct(
-            *(F.floor(F.col(c) / params.block_cells).alias(c) for c in ("cx", "cy"))
+        side = params.block_cells
+        block = f"named_struct('cx', floor(cx / {side}), 'cy', floor(cy / {side}))"
+        a = lines.selectExpr(
+            *cell, "node as a", f"{block} as a_block", f"{line} as a_line", "last as a_end"
         )
-        a = lines.select(
-            *cell,
-            F.col("node").alias("a"),
-            block.alias("a_block"),
-            F.col(line).alias("a_line"),
-            F.col("last").alias("a_end"),
-        )
-        b = lines.select(
+        b = lines.selectExpr(
             *by,
-            F.col("cx").alias("to_cx"),
-            F.col("cy").alias("to_cy"),
-            F.col("node").alias("b"),
-            block.alias("b_block"),
-            F.col(line).alias("b_line"),
-            F.col("first").alias("b_end"),
+            "cx as to_cx",
+            "cy as to_cy",
+            "node as b",
+            f"{block} as b_block",
+            f"{line} as b_line",
+            "first as b_end",
         )
         return (
             explode_cells(a, steps)
@@ -108,17 +106,9 @@ def border_clusters(
 
     Non-core points sit in cells with few points, so few rows are expanded.
     """
-    near = core.select(
-        *by,
-        F.col("cx").alias("to_cx"),
-        F.col("cy").alias("to_cy"),
-        F.col("x").alias("near_x"),
-        F.col("y").alias("near_y"),
-        "cluster_id",
-    )
     return (
         explode_cells(others, near_cells(cell_side(eps), eps))
-        .join(near, [*by, "to_cx", "to_cy"])
+        .join(as_targets(core, by, "cluster_id"), [*by, "to_cx", "to_cy"])
         .filter(squared_distance("x", "y", "near_x", "near_y") <= eps * eps)
         .groupBy(*by, "x", "y")
         .agg(F.min("cluster_id").alias("cluster_id"))

@@ -33,26 +33,35 @@ def near_cells(side: int, eps: float) -> list[tuple[int, int]]:
     return [(i, j) for i in near for j in near if gap(i) ** 2 + gap(j) ** 2 <= eps * eps]
 
 
-def cell_of(coordinate: str, side: int) -> Column:
-    return F.floor(F.col(coordinate) / side).cast("int")
+def in_cells(points: DataFrame, side: int, by: Sequence[str]) -> DataFrame:
+    """Points with the grid cell (cx, cy) that holds them."""
+    return points.selectExpr(
+        *by,
+        "x",
+        "y",
+        f"cast(floor(x / {side}) as int) as cx",
+        f"cast(floor(y / {side}) as int) as cy",
+    )
 
 
-def explode_cells(
-    df: DataFrame, steps: Sequence[tuple[int, int]], cx: str = "cx", cy: str = "cy"
-) -> DataFrame:
-    """Repeat each row for every cell in ``steps``, as columns ``to_cx, to_cy``."""
-    moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
-    return df.select("*", F.inline(moves)).select(
-        *df.columns,
-        (F.col(cx) + F.col("i")).alias("to_cx"),
-        (F.col(cy) + F.col("j")).alias("to_cy"),
+def explode_cells(df: DataFrame, steps: Sequence[tuple[int, int]]) -> DataFrame:
+    """Repeat each row for every cell in ``steps`` from its own: ``to_cx, to_cy``."""
+    moves = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i, j in steps)
+    return df.selectExpr("*", f"inline(array({moves}))").selectExpr(
+        *df.columns, "cx + i as to_cx", "cy + j as to_cy"
     )
 
 
 def squared_distance(x1: str, y1: str, x2: str, y2: str) -> Column:
-    dx = (F.col(x1) - F.col(x2)).cast("bigint")
-    dy = (F.col(y1) - F.col(y2)).cast("bigint")
-    return dx * dx + dy * dy
+    dx, dy = f"cast({x1} - {x2} as bigint)", f"cast({y1} - {y2} as bigint)"
+    return F.expr(f"{dx} * {dx} + {dy} * {dy}")
+
+
+def as_targets(cells: DataFrame, by: Sequence[str], *more: str) -> DataFrame:
+    """Points renamed for the far side of a join on cells."""
+    return cells.selectExpr(
+        *by, "cx as to_cx", "cy as to_cy", "x as near_x", "y as near_y", *more
+    )
 
 
 def eps_join(points: DataFrame, eps: float, by: Sequence[str] = POINT_SET) -> DataFrame:
@@ -60,19 +69,10 @@ def eps_join(points: DataFrame, eps: float, by: Sequence[str] = POINT_SET) -> Da
 
     The result itself has one row per pair; clustering does without it.
     """
-    side = max(math.ceil(eps), 1)
-    cells = points.select(
-        *by, "x", "y", cell_of("x", side).alias("cx"), cell_of("y", side).alias("cy")
-    )
+    cells = in_cells(points, max(math.ceil(eps), 1), by)
     around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     probes = explode_cells(cells, around).drop("cx", "cy")
-    targets = cells.select(
-        *by,
-        F.col("x").alias("near_x"),
-        F.col("y").alias("near_y"),
-        F.col("cx").alias("to_cx"),
-        F.col("cy").alias("to_cy"),
-    )
+    targets = as_targets(cells, by)
     apart = squared_distance("x", "y", "near_x", "near_y")
     return (
         probes.join(targets, [*by, "to_cx", "to_cy"])
@@ -89,25 +89,19 @@ def mark_core(
     A core point has at least ``min_pts`` other points within ``eps``. In a
     cell with more than ``min_pts`` points all are core, without any look at
     pairs; only the few points of other cells count their neighbours.
+
+    One shuffle brings an image's points together, which are at most the
+    pixels of one input record; everything after it stays in place.
     """
     side = cell_side(eps)
     cell = [*by, "cx", "cy"]
-    sized = points.select(
-        *by, "x", "y", cell_of("x", side).alias("cx"), cell_of("y", side).alias("cy")
-    ).withColumn("in_cell", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
+    placed = in_cells(points.repartition(*(F.col(c) for c in by)), side, by)
+    sized = placed.withColumn("in_cell", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
     crowded = F.col("in_cell") > min_pts
-
-    near = sized.select(
-        *by,
-        F.col("cx").alias("to_cx"),
-        F.col("cy").alias("to_cy"),
-        F.col("x").alias("near_x"),
-        F.col("y").alias("near_y"),
-    )
     # A point always meets itself, so none is lost in the inner join.
     counted = (
         explode_cells(sized.filter(~crowded), near_cells(side, eps))
-        .join(near, [*by, "to_cx", "to_cy"])
+        .join(as_targets(placed, by), [*by, "to_cx", "to_cy"])
         .filter(squared_distance("x", "y", "near_x", "near_y") <= eps * eps)
         .groupBy(*cell, "x", "y")
         .agg((F.count(F.lit(1)) - 1 >= min_pts).alias("is_core"))

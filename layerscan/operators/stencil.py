@@ -19,36 +19,26 @@ from layerscan.params import Params
 from layerscan.schema import FRAME
 
 
-def _offset_array(params: Params) -> Column:
-    """Constant array of (kind, layer_offset, dx, dy)."""
-
-    def kind(distance: int) -> str:
-        return "close" if distance <= params.distance_factor else "outer"
-
+def _offset_array(params: Params) -> str:
+    """SQL text of the constant array of (kind, layer_offset, dx, dy)."""
     span = range(-params.reach, params.reach + 1)
-    cells = [
-        (abs(dx) + abs(dy) + back, back, dx, dy)
-        for back in range(params.window_size)
-        for dy in span
-        for dx in span
-    ]
-    return F.array(
-        *(
-            F.struct(
-                F.lit(kind(distance)).alias("kind"),
-                F.lit(back).alias("layer_offset"),
-                F.lit(dx).alias("dx"),
-                F.lit(dy).alias("dy"),
-            )
-            for distance, back, dx, dy in cells
-            if distance <= params.reach
-        )
-    )
+    cells = []
+    for back in range(params.window_size):
+        for dy in span:
+            for dx in span:
+                distance = abs(dx) + abs(dy) + back
+                if distance <= params.reach:
+                    kind = "close" if distance <= params.distance_factor else "outer"
+                    cells.append(
+                        f"named_struct('kind', '{kind}', 'layer_offset', {back}, "
+                        f"'dx', {dx}, 'dy', {dy})"
+                    )
+    return f"array({', '.join(cells)})"
 
 
 def stencil_offsets(spark: SparkSession, params: Params = Params()) -> DataFrame:
     """The offsets of both neighbourhoods: one row per (layer_offset, dx, dy)."""
-    return spark.range(1).select(F.inline(_offset_array(params)))
+    return spark.range(1).selectExpr(f"inline({_offset_array(params)})")
 
 
 def neighbour_join(pixels: DataFrame, params: Params = Params()) -> DataFrame:
@@ -61,15 +51,15 @@ def neighbour_join(pixels: DataFrame, params: Params = Params()) -> DataFrame:
     """
     targets = (
         pixels.filter(has_full_window(params) & is_candidate(F.col("temp"), params))
-        .select(*FRAME, "x", "y", F.inline(_offset_array(params)))
-        .select(
+        .selectExpr(*FRAME, "x", "y", f"inline({_offset_array(params)})")
+        .selectExpr(
             *FRAME,
             "x",
             "y",
             "kind",
-            (F.col("seq") - F.col("layer_offset")).alias("n_seq"),
-            (F.col("x") + F.col("dx")).alias("n_x"),
-            (F.col("y") + F.col("dy")).alias("n_y"),
+            "seq - layer_offset as n_seq",
+            "x + dx as n_x",
+            "y + dy as n_y",
         )
     )
     neighbours = pixels.select(

@@ -29,6 +29,7 @@ class Params:
     chunk_layers: int = 64  # layers per window chunk
     band_rows: int = 128  # image rows per band
     block_cells: int = 64  # cluster cells per block side
+    stream_slots: int = 4  # state keys per tile in a stream
 
     @property
     def reach(self) -> int:

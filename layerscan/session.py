@@ -20,6 +20,8 @@ def local_session(cores: int | str = "*", app: str = "layerscan") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Call-site capture makes building large plans slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -1,0 +1,94 @@
+"""The analysis as a stream: messages in, one result per tile image out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
+
+from layerscan.operators.bands import scan_bands
+from layerscan.operators.records import split_valid
+from layerscan.params import Params
+from layerscan.plans.analyze import results_of
+from layerscan.sources.messages import check_messages, decode_frames
+from layerscan.streaming.window import streaming_band_windows
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Fixed value: how far event time may run behind its maximum.
+MAX_LATENESS = "3 seconds"
+
+
+def event_time(arrival_time: Column | None = None) -> Column:
+    """A layer's number read as milliseconds, or the arrival time without one."""
+    by_layer = F.timestamp_millis(F.col("layer").cast("bigint"))
+    return by_layer if arrival_time is None else F.coalesce(by_layer, arrival_time)
+
+
+def with_layer_watermark(messages: DataFrame, arrival_time: Column | None = None) -> DataFrame:
+    """Event time and watermark for user queries on the stream.
+
+    The analysis does not read it: it takes every record when it arrives.
+    """
+    timed = messages.withColumn("event_time", event_time(arrival_time))
+    return timed.withWatermark("event_time", MAX_LATENESS)
+
+
+def analyze_stream(
+    messages: DataFrame,
+    out: str,
+    checkpoint: str,
+    params: Params = Params(),
+    rejects_out: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Start the analysis of a message stream; results go to folders below ``out``.
+
+    Each micro-batch writes its own folder and overwrites it when replayed
+    after a failure. With ``available_now`` the query ends once the input
+    present at its start is done, otherwise it runs on.
+    """
+    spark = messages.sparkSession
+    good, rejects = split_valid(check_messages(messages))
+    frames = decode_frames(good)
+    scanned = scan_bands(streaming_band_windows(frames, params), params)
+
+    def write_results(batch: DataFrame, batch_id: int) -> None:
+        # The stateful step must run once per micro-batch; a lost block is
+        # recomputed from the state version the batch started with.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            results = results_of(batch, params)
+            results.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    def write_rejects(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rejects_out}/micro_batch={batch_id}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        if rejects_out is not None:
+            _start(rejects, write_rejects, f"{checkpoint}/rejects", available_now)
+        return _start(scanned, write_results, f"{checkpoint}/results", available_now)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def print_results(results: DataFrame, available_now: bool = True) -> StreamingQuery:
+    """Show each row of a result stream on the console."""
+    writer = results.writeStream.format("console").option("truncate", False)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_results(spark, out: str) -> DataFrame:
+    """All results a stream has written so far."""
+    return spark.read.parquet(out).drop("micro_batch")
