@@ -41,47 +41,58 @@ def stencil_offsets(spark: SparkSession, params: Params = Params()) -> DataFrame
     return spark.range(1).selectExpr(f"inline({_offset_array(params)})")
 
 
-def neighbour_join(pixels: DataFrame, params: Params = Params()) -> DataFrame:
-    """Sums of both neighbourhoods by joining each pixel to each neighbour.
+def neighbour_pairs(pixels: DataFrame, params: Params = Params()) -> DataFrame:
+    """Candidate pixels of full windows next to every neighbour they have.
 
-    Works on sparse pixels too: a neighbour that is off the grid or missing
-    adds nothing to the sum but counts in the denominator. Each candidate
-    pixel of a full window expands to one row per offset, so this form is
-    for cross-checks and sparse data.
+    One row per pixel and stencil offset; ``n_temp`` is null for a neighbour
+    that is off the grid or, on sparse pixels, missing.
     """
     targets = (
         pixels.filter(has_full_window(params) & is_candidate(F.col("temp"), params))
         .selectExpr(*FRAME, "x", "y", f"inline({_offset_array(params)})")
         .selectExpr(
-            *FRAME,
-            "x",
-            "y",
-            "kind",
-            "seq - layer_offset as n_seq",
-            "x + dx as n_x",
-            "y + dy as n_y",
+            "*", "seq - layer_offset as n_seq", "x + dx as n_x", "y + dy as n_y"
         )
     )
-    neighbours = pixels.select(
-        *(F.col(k).alias(f"n_{k}") for k in params.key_cols),
-        F.col("seq").alias("n_seq"),
-        F.col("x").alias("n_x"),
-        F.col("y").alias("n_y"),
-        F.col("temp").cast("bigint").alias("n_temp"),
+    neighbours = pixels.selectExpr(
+        *params.key_cols,
+        "seq as n_seq",
+        "x as n_x",
+        "y as n_y",
+        "cast(temp as bigint) as n_temp",
     )
-    on = [F.col(f"t.{c}") == F.col(f"n.{c}") for c in ("n_seq", "n_x", "n_y")]
-    on += [F.col(f"t.{k}") == F.col(f"n.n_{k}") for k in params.key_cols]
+    return targets.join(neighbours, [*params.key_cols, "n_seq", "n_x", "n_y"], "left").select(
+        *FRAME, "x", "y", "kind", "layer_offset", "dx", "dy", "n_temp"
+    )
+
+
+def neighbour_join(pixels: DataFrame, params: Params = Params()) -> DataFrame:
+    """Sums of both neighbourhoods by joining each pixel to each neighbour.
+
+    A missing neighbour adds nothing to the sum but counts in the
+    denominator. Each candidate pixel expands to one row per offset, so this
+    form is for cross-checks and sparse data.
+    """
+
+    def total(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n_temp"))), F.lit(0))
+
+    return (
+        neighbour_pairs(pixels, params)
+        .groupBy(*FRAME, "x", "y")
+        .agg(total("close").alias("close_sum"), total("outer").alias("outer_sum"))
+    )
+
+
+def offset_profile(pixels: DataFrame, params: Params = Params()) -> DataFrame:
+    """What each stencil offset sees: pixels, neighbours on the grid, their sum."""
     return (
-        targets.alias("t")
-        .join(neighbours.alias("n"), on, "left")
-        .groupBy(*(F.col(f"t.{c}") for c in (*FRAME, "x", "y")))
+        neighbour_pairs(pixels, params)
+        .groupBy("kind", "layer_offset", "dx", "dy")
         .agg(
-            F.coalesce(
-                F.sum(F.when(F.col("kind") == "close", F.col("n_temp"))), F.lit(0)
-            ).alias("close_sum"),
-            F.coalesce(
-                F.sum(F.when(F.col("kind") == "outer", F.col("n_temp"))), F.lit(0)
-            ).alias("outer_sum"),
+            F.count(F.lit(1)).alias("pixels"),
+            F.count("n_temp").alias("on_grid"),
+            F.coalesce(F.sum("n_temp"), F.lit(0)).alias("temp_sum"),
         )
     )
 
