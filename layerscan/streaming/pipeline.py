@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -41,7 +43,6 @@ def analyze_stream(
     out: str,
     checkpoint: str,
     params: Params = Params(),
-    rejects_out: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start the analysis of a message stream; results go to folders below ``out``.
@@ -51,9 +52,9 @@ def analyze_stream(
     present at its start is done, otherwise it runs on.
     """
     spark = messages.sparkSession
-    good, rejects = split_valid(check_messages(messages))
-    frames = decode_frames(good)
-    scanned = scan_bands(streaming_band_windows(frames, params), params)
+    good, _ = split_valid(check_messages(messages))
+    windows = streaming_band_windows(decode_frames(good), params)
+    scanned = scan_bands(windows, params)
 
     def write_results(batch: DataFrame, batch_id: int) -> None:
         # The stateful step must run once per micro-batch; a lost block is
@@ -65,20 +66,32 @@ def analyze_stream(
         finally:
             batch.unpersist()
 
-    def write_rejects(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rejects_out}/micro_batch={batch_id}")
-
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        if rejects_out is not None:
-            _start(rejects, write_rejects, f"{checkpoint}/rejects", available_now)
-        return _start(scanned, write_results, f"{checkpoint}/results", available_now)
+        return _start(scanned, write_results, checkpoint, available_now)
     finally:
         spark.conf.set(STATE_STORE, before)
 
 
-def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
+def store_rejects(
+    messages: DataFrame, out: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Start a query that keeps the unusable records of a stream, with reasons."""
+    _, rejects = split_valid(check_messages(messages))
+
+    def write_rejects(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
+
+    return _start(rejects, write_rejects, checkpoint, available_now)
+
+
+def _start(
+    stream: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    available_now: bool,
+) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
@@ -89,6 +102,6 @@ def print_results(results: DataFrame, available_now: bool = True) -> StreamingQu
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_results(spark, out: str) -> DataFrame:
+def read_results(spark: SparkSession, out: str) -> DataFrame:
     """All results a stream has written so far."""
     return spark.read.parquet(out).drop("micro_batch")
