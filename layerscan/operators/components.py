@@ -8,10 +8,11 @@ rounds of distributed contraction. Images within one block need no round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +53,74 @@ def component_labels(
 
 
 def _labels_in_blocks(edges: DataFrame, by: list[str]) -> DataFrame:
-    narrow = edges.select(*by, F.col("a_block").alias("block"), "a", "b")
-    schema = narrow.select(*by, F.col("a").alias("node"), F.col("b").alias("label")).schema
+    """Labels from the edges inside each block; ``a_block`` is the block of both ends.
 
-    def label_block(part: pd.DataFrame) -> pd.DataFrame:
-        nodes, labels = smallest_reachable(part["a"].to_numpy(), part["b"].to_numpy())
-        out = pd.DataFrame({name: part[name].iloc[0] for name in by}, index=range(len(nodes)))
-        return out.assign(node=nodes, label=labels)
-
-    return narrow.groupBy(*by, "block").applyInPandas(label_block, schema)
-
-
-def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of an edge list and the smallest node each is connected to."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    left, right = np.split(ends, 2)
+    A task reads its blocks in order and labels all blocks of a batch in one
+    go. It holds one Arrow batch and the edges of one block.
+    """
+    key = [*by, "a_block"]
+    grouped = edges.select(*key, "a", "b").repartition(*(F.col(c) for c in key))
+    schema = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("label")).schema
+    n_keys = len(key)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, n_keys):
+            starts = group_starts(table, n_keys)
+            group = np.zeros(len(table), np.int64)
+            group[starts[1:]] = 1
+            group = np.cumsum(group)
+            a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+            of, nodes, labels = smallest_reachable(group, a, b)
+            keys = [table.column(n).take(pa.array(starts[of])) for n in by]
+            out = pa.table([*keys, pa.array(nodes), pa.array(labels)], names=schema.names)
+            yield from out.combine_chunks().to_batches()
+
+    return grouped.sortWithinPartitions(*key).mapInArrow(label, schema)
+
+
+def group_starts(table: pa.Table, n_keys: int) -> np.ndarray:
+    """First row of every run of equal values in the first ``n_keys`` columns."""
+    changed = np.zeros(len(table), bool)
+    changed[:1] = True
+    for column in table.columns[:n_keys]:
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(table) - 1))
+        changed[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Sorted batches regrouped so that no group is split between two tables."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if len(table) == 0:
+            continue
+        edge = pa.concat_tables([t.slice(len(t) - 1) for t in rest[-1:]] + [table])
+        starts = group_starts(edge.combine_chunks(), n_keys)[1:] - len(rest[-1:])
+        if len(starts) == 0:
+            rest.append(table)
+            continue
+        yield pa.concat_tables([*rest, table.slice(0, starts[-1])]).combine_chunks()
+        rest = [table.slice(starts[-1])]
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+def smallest_reachable(
+    group: np.ndarray, a: np.ndarray, b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, node and smallest connected node, for each node of some edge lists.
+
+    ``a[i]`` and ``b[i]`` are connected within ``group[i]``.
+    """
+    ends = np.stack((np.tile(group, 2), np.concatenate((a, b))), axis=1)
+    order = np.lexsort((ends[:, 1], ends[:, 0]))
+    new = np.ones(len(ends), bool)
+    new[1:] = (ends[order][1:] != ends[order][:-1]).any(axis=1)
+    place = np.empty(len(ends), np.int64)
+    place[order] = np.cumsum(new) - 1
+    of, nodes = ends[order][new].T
+    left, right = np.split(place, 2)
     label = np.arange(len(nodes))
     while True:
         lower = np.minimum(label[left], label[right])
@@ -75,7 +129,7 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
         np.minimum.at(label, before[right], lower)
         label = label[label]
         if np.array_equal(label, before):
-            return nodes, nodes[label]
+            return of, nodes, nodes[label]
 
 
 def _renamed(edges: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:

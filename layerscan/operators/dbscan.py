@@ -74,7 +74,7 @@ def cell_edges(core: DataFrame, params: Params, by: Sequence[str] = POINT_SET) -
             F.min(along).alias("first"), F.max(along).alias("last")
         )
         side = params.block_cells
-        block = f"named_struct('cx', floor(cx / {side}), 'cy', floor(cy / {side}))"
+        block = f"shiftleft(floor(cy / {side}), 32) + floor(cx / {side})"
         a = lines.selectExpr(
             *cell, "node as a", f"{block} as a_block", f"{line} as a_line", "last as a_end"
         )

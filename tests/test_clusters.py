@@ -1,12 +1,14 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import clusters
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from layerscan.operators.clusters import cluster_centroids, largest_clusters, swap_axes
-from layerscan.operators.components import smallest_reachable
+from layerscan.operators.components import smallest_reachable, whole_groups
 from layerscan.operators.dbscan import dbscan
 from layerscan.operators.neighbours import cell_side, eps_join, mark_core, near_cells
 from layerscan.operators.results import nest_centroids
@@ -132,18 +134,36 @@ def test_cells_fit_the_radius(eps):
                 assert ((side - 1 + dx) // side, (side - 1 + dy) // side) in near
 
 
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=60))
+EDGES = st.lists(
+    st.tuples(st.integers(0, 3), st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=60
+)
+
+
+@given(EDGES)
 @settings(max_examples=200, deadline=None)
 def test_components_of_random_graphs(edges):
-    import numpy as np
-
-    a, b = (np.array(v) for v in zip(*edges))
-    nodes, labels = smallest_reachable(a, b)
-    expected = {n: n for e in edges for n in e}
+    group, a, b = (np.array(v) for v in zip(*edges))
+    expected = {(g, n): n for g, *e in edges for n in e}
     for _ in expected:
-        for u, v in edges:
-            expected[u] = expected[v] = min(expected[u], expected[v])
-    assert dict(zip(nodes.tolist(), labels.tolist())) == expected
+        for g, u, v in edges:
+            expected[g, u] = expected[g, v] = min(expected[g, u], expected[g, v])
+    of, nodes, labels = smallest_reachable(group, a, b)
+    assert dict(zip(zip(of.tolist(), nodes.tolist()), labels.tolist())) == expected
+
+
+@given(EDGES, st.lists(st.integers(1, 9), min_size=1, max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_groups_stay_whole(rows, sizes):
+    rows = sorted(rows)
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["k1", "k2", "v"])
+    batches, at = [], 0
+    for size in [*sizes, len(rows)]:
+        batches += table.slice(at, size).to_batches()
+        at += size
+    parts = list(whole_groups(iter(batches), 2))
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == rows
+    keys = [{(r["k1"], r["k2"]) for r in p.to_pylist()} for p in parts]
+    assert sum(map(len, keys)) == len(set.union(*keys))
 
 
 def test_ten_largest_with_ties(spark):
