@@ -3,15 +3,15 @@
 Core points of one cell are all within ``eps`` of each other, so the graph to
 connect has one node per cell. Two cells are connected if some core point of
 one is near some core point of the other; the outermost points of each row
-(or column) of the cells decide that, so a crowded pair of cells costs a few
-row pairs instead of all pairs of points.
+(or column) of the cells decide that. A cell therefore travels as one row
+with at most ``side`` entries, however crowded it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.functions.pixel import point_id
@@ -21,8 +21,10 @@ from layerscan.operators.neighbours import (
     as_targets,
     cell_side,
     explode_cells,
+    join_cells,
     mark_core,
     near_cells,
+    spread,
     squared_distance,
 )
 from layerscan.params import Params
@@ -42,61 +44,74 @@ def dbscan(
     marked = materialize(mark_core(points, eps, params.dbscan_min_pts, by), "marked")
     far = (F.col("cx") >= params.block_cells) | (F.col("cy") >= params.block_cells)
     far |= (F.col("cx") < 0) | (F.col("cy") < 0)
-    core = with_cell_nodes(marked.filter("is_core"), by)
-    edges = cell_edges(core, params, by)
-    labels = component_labels(edges, by, one_block=marked.filter(far).isEmpty())
-    core = core.join(labels, [*by, "node"], "left").select(
-        *by, "cx", "cy", "x", "y", F.coalesce("label", "node").alias("cluster_id"), "is_core"
+    core = spread(marked.filter("is_core"), by)
+    cells = cell_lines(core, by)
+    one_block = marked.filter(far).isEmpty()
+    labels = component_labels(cell_edges(cells, params, by), by, one_block)
+    clusters = (
+        cells.select(*by, "cx", "cy", "node")
+        .join(labels, [*by, "node"], "left")
+        .select(*by, "cx", "cy", F.coalesce("label", "node").alias("cluster_id"))
     )
-    core = materialize(core, "core")
+    core = materialize(core.join(clusters, [*by, "cx", "cy"]), "core")
     border = border_clusters(marked.filter(~F.col("is_core")), core, eps, by)
     columns = [*by, "x", "y", "cluster_id", "is_core"]
     return core.select(*columns).unionByName(border.select(*columns))
 
 
-def with_cell_nodes(core: DataFrame, by: Sequence[str] = POINT_SET) -> DataFrame:
-    """Core points with ``node``, the smallest core point of their cell."""
-    cell = Window.partitionBy(*by, "cx", "cy")
-    return core.repartition(*(F.col(c) for c in by)).withColumn(
-        "node", F.min(point_id(F.col("x"), F.col("y"))).over(cell)
-    )
+def cell_lines(core: DataFrame, by: Sequence[str] = POINT_SET) -> DataFrame:
+    """One row per cell with core points.
 
+    ``node`` is its smallest core point; ``rows`` and ``columns`` list, for
+    each row or column of the cell, the first and the last core point.
+    """
+    cell = [*by, "cx", "cy"]
 
-def cell_edges(core: DataFrame, params: Params, by: Sequence[str] = POINT_SET) -> DataFrame:
-    """Connected pairs of cells, each named by its ``node``."""
-    eps = params.dbscan_eps
-    by, cell = list(by), [*by, "cx", "cy"]
-    near = near_cells(cell_side(eps), eps)
+    def lines(line: str, along: str) -> DataFrame:
+        ends = core.groupBy(*cell, line).agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
+        return ends.groupBy(*cell)
 
-    def meet(line: str, along: str, steps: list[tuple[int, int]]) -> DataFrame:
-        """Last points of each line of a cell against first points of later cells."""
-        lines = core.groupBy(*cell, "node", line).agg(
-            F.min(along).alias("first"), F.max(along).alias("last")
-        )
-        side = params.block_cells
-        block = f"shiftleft(floor(cy / {side}), 32) + floor(cx / {side})"
-        a = lines.selectExpr(
-            *cell, "node as a", f"{block} as a_block", f"{line} as a_line", "last as a_end"
-        )
-        b = lines.selectExpr(
-            *by,
-            "cx as to_cx",
-            "cy as to_cy",
-            "node as b",
-            f"{block} as b_block",
-            f"{line} as b_line",
-            "first as b_end",
-        )
-        return (
-            explode_cells(a, steps)
-            .join(b, [*by, "to_cx", "to_cy"])
-            .filter(squared_distance("a_line", "a_end", "b_line", "b_end") <= eps * eps)
-            .select(*by, "a", "b", "a_block", "b_block")
-        )
+    entry = F.struct(F.col("y").alias("at"), "lo", "hi")
+    rows = lines("y", "x").agg(
+        F.collect_list(entry).alias("rows"),
+        F.min(point_id(F.col("lo"), F.col("y"))).alias("node"),
+    )
+    entry = F.struct(F.col("x").alias("at"), "lo", "hi")
+    columns = lines("x", "y").agg(F.collect_list(entry).alias("columns"))
+    return rows.join(columns.hint("merge"), cell)
 
-    to_the_right = meet("y", "x", [(i, j) for i, j in near if i > 0])
-    below = meet("x", "y", [(i, j) for i, j in near if i == 0 and j > 0])
-    return to_the_right.unionByName(below).distinct()
+
+def cell_edges(cells: DataFrame, params: Params, by: Sequence[str] = POINT_SET) -> DataFrame:
+    """Connected pairs of cells, each pair once, named by their ``node``.
+
+    A cell looks at those to its right, comparing last with first points of
+    rows, and at those straight below, doing the same with columns.
+    """
+    eps, side = params.dbscan_eps, params.block_cells
+    ahead = [(i, j) for i, j in near_cells(cell_side(eps), eps) if i > 0 or (i == 0 and j > 0)]
+    block = f"shiftleft(floor(cy / {side}), 32) + floor(cx / {side})"
+    a = explode_cells(cells, ahead).selectExpr(
+        *by,
+        "to_cx",
+        "to_cy",
+        "to_cx > cx as beside",
+        "node as a",
+        f"{block} as a_block",
+        "if(to_cx > cx, rows, columns) as a_lines",
+    )
+    b = cells.selectExpr(
+        *by,
+        "cx as to_cx",
+        "cy as to_cy",
+        "node as b",
+        f"{block} as b_block",
+        "rows as b_rows",
+        "columns as b_columns",
+    )
+    between, along = "cast(p.at - q.at as bigint)", "cast(q.lo - p.hi as bigint)"
+    meet = f"{between} * {between} + {along} * {along} <= {eps * eps}"
+    touching = f"exists(a_lines, p -> exists(if(beside, b_rows, b_columns), q -> {meet}))"
+    return join_cells(a, b, by).filter(touching).select(*by, "a", "b", "a_block", "b_block")
 
 
 def border_clusters(
@@ -107,8 +122,11 @@ def border_clusters(
     Non-core points sit in cells with few points, so few rows are expanded.
     """
     return (
-        explode_cells(others, near_cells(cell_side(eps), eps))
-        .join(as_targets(core, by, "cluster_id"), [*by, "to_cx", "to_cy"])
+        join_cells(
+            explode_cells(others, near_cells(cell_side(eps), eps)),
+            as_targets(spread(core, by), by, "cluster_id"),
+            by,
+        )
         .filter(squared_distance("x", "y", "near_x", "near_y") <= eps * eps)
         .groupBy(*by, "x", "y")
         .agg(F.min("cluster_id").alias("cluster_id"))

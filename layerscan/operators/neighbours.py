@@ -44,6 +44,17 @@ def in_cells(points: DataFrame, side: int, by: Sequence[str]) -> DataFrame:
     )
 
 
+def spread(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows placed by cell, over all shuffle partitions.
+
+    A cell is the finest unit, so a crowded image spreads over many tasks.
+    The number is explicit, as later steps multiply the rows: by their size
+    alone, few points would be merged into very few tasks.
+    """
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, *by, "cx", "cy")
+
+
 def explode_cells(df: DataFrame, steps: Sequence[tuple[int, int]]) -> DataFrame:
     """Repeat each row for every cell in ``steps`` from its own: ``to_cx, to_cy``."""
     moves = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i, j in steps)
@@ -64,6 +75,16 @@ def as_targets(cells: DataFrame, by: Sequence[str], *more: str) -> DataFrame:
     )
 
 
+def join_cells(probes: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join exploded rows with the points of the cells they look at.
+
+    Always a sort-merge join: an exploded side is many times larger than its
+    estimate, so it must not be broadcast by that. Targets that were spread
+    by cell stay in place; only the exploded rows move.
+    """
+    return probes.join(targets.hint("merge"), [*by, "to_cx", "to_cy"])
+
+
 def eps_join(points: DataFrame, eps: float, by: Sequence[str] = POINT_SET) -> DataFrame:
     """All ordered pairs of different points within ``eps``: x, y, near_x, near_y.
 
@@ -75,7 +96,7 @@ def eps_join(points: DataFrame, eps: float, by: Sequence[str] = POINT_SET) -> Da
     targets = as_targets(cells, by)
     apart = squared_distance("x", "y", "near_x", "near_y")
     return (
-        probes.join(targets, [*by, "to_cx", "to_cy"])
+        join_cells(probes, targets, by)
         .filter((apart <= eps * eps) & (apart > 0))
         .select(*by, "x", "y", "near_x", "near_y")
     )
@@ -90,18 +111,21 @@ def mark_core(
     cell with more than ``min_pts`` points all are core, without any look at
     pairs; only the few points of other cells count their neighbours.
 
-    One shuffle brings an image's points together, which are at most the
-    pixels of one input record; everything after it stays in place.
+    Points shuffle once by cell; only those few move again, to each cell in
+    reach.
     """
     side = cell_side(eps)
     cell = [*by, "cx", "cy"]
-    placed = in_cells(points.repartition(*(F.col(c) for c in by)), side, by)
+    placed = spread(in_cells(points, side, by), by)
     sized = placed.withColumn("in_cell", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
     crowded = F.col("in_cell") > min_pts
     # A point always meets itself, so none is lost in the inner join.
     counted = (
-        explode_cells(sized.filter(~crowded), near_cells(side, eps))
-        .join(as_targets(placed, by), [*by, "to_cx", "to_cy"])
+        join_cells(
+            explode_cells(sized.filter(~crowded), near_cells(side, eps)),
+            as_targets(placed, by),
+            by,
+        )
         .filter(squared_distance("x", "y", "near_x", "near_y") <= eps * eps)
         .groupBy(*cell, "x", "y")
         .agg((F.count(F.lit(1)) - 1 >= min_pts).alias("is_core"))
