@@ -33,6 +33,8 @@ def pack_pixels(positions: pa.Array, temps: pa.Array, sizes: pa.Array) -> pa.Arr
     """Packed image of ``size`` pixels with ``temps`` at ``positions``, zero elsewhere."""
     size = sizes.to_numpy()
     ends = np.concatenate(([0], np.cumsum(size)))
+    if ends[-1] * SAMPLE.itemsize > np.iinfo(np.int32).max:
+        raise ValueError("images too large for one batch: lower arrow.maxRecordsPerBatch")
     image_of = np.repeat(np.arange(len(size)), positions.value_lengths().to_numpy())
     samples = np.zeros(ends[-1], SAMPLE)
     samples[ends[image_of] + positions.flatten().to_numpy()] = temps.flatten().to_numpy()

@@ -109,6 +109,8 @@ def _scan_batches(
     """Stack bands of one shape, up to a cache-sized pile, and scan each pile."""
     pile_pixels = 1 << 18
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
         bands = batch.select(range(len(FRAME), batch.num_columns)).to_pylist()
         seqs = batch.column(FRAME.index("seq")).to_pylist()
         found: list[tuple] = [None] * len(bands)

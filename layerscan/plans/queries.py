@@ -52,7 +52,7 @@ from layerscan.sources.rasters import (
     table,
     vector_frames,
 )
-from layerscan.streaming.pipeline import (
+from layerscan.streaming.analysis import (
     analyze_stream,
     read_results,
     with_layer_watermark,

@@ -9,7 +9,7 @@ from layerscan.plans.analyze import analyze, write_results
 from layerscan.schema import MESSAGES, RESULTS
 from layerscan.session import fresh_path
 from layerscan.sources.messages import encode_frames, stream_messages
-from layerscan.streaming.pipeline import (
+from layerscan.streaming.analysis import (
     analyze_stream,
     print_results,
     read_results,
