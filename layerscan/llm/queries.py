@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerscan.llm import anchors
+from layerscan.llm import anchors, minhash, suffixes
 
 
 def _table(name: str, work: Callable[[DataFrame], DataFrame]):
@@ -15,6 +15,8 @@ def _table(name: str, work: Callable[[DataFrame], DataFrame]):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": _table("documents", anchors.dedup_report),
+    "op7_suffix_dedup": _table("documents", suffixes.suffix_report),
+    "op10_minhash_near_dedup": _table("documents", minhash.near_report),
 }
 
 ORACLE: dict[str, str] = {}
