@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from layerscan.llm.batches import materialize_in_small_batches
 from layerscan.llm.components import components
 from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, window_hashes
 from layerscan.session import materialize
@@ -180,9 +180,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(docs.join(needed, "id", "left_semi").mapInArrow(full, "id long, full binary"), "sets")
+    sets = materialize_in_small_batches(
+        docs.join(needed, "id", "left_semi").mapInArrow(full, "id long, full binary"), "sets"
+    )
     joined = pairs.join(sets.toDF("a", "full_a"), "a").join(sets.toDF("b", "full_b"), "b")
-    return materialize(joined.select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long"), "links")
+    return materialize_in_small_batches(
+        joined.select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long"), "links"
+    )
 
 
 def _split_buckets(members: DataFrame, named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     share their component if their sets are equal or linked.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    described = materialize(
+    described = materialize_in_small_batches(
         docs.mapInArrow(_described, "id long, n long, one long, two long, sign binary"), "described"
     )
     usable = described.where((F.col("n") > 0) & F.col("id").isNotNull())
