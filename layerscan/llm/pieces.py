@@ -3,8 +3,9 @@
 Merging pairs by score gives, of all ways to cut a text into pieces, the one in
 which every two neighbours are what merging makes of their own characters. So
 encoding is a best path: an edge weighs 0 if its piece may follow the piece
-before it and minus infinity if not. A prefix has one such path at most, which
-a pass from left to right finds with one piece per position.
+before it and minus infinity if not. A prefix has one such path at most, so one
+piece per position says it all, or a search from the left if only the path to
+the end is asked for.
 
 A document of more than ``CHUNK`` characters is cut into chunks. The state at a
 cut is the piece that reaches or crosses it; each chunk gives the matrix of
@@ -17,6 +18,7 @@ piece crosses has one state. Shorter documents are one chunk and need no other.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,12 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.text_of = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.tree: dict = {}
+        for piece in self.pieces:
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = True
         self.plain = {i: p.replace(SPACE_MARK, " ") for i, p in self.text_of.items()}
 
     def merged(self, text: str) -> list[str]:
@@ -94,6 +102,39 @@ class Encoder:
                     break
         return size
 
+    def _lengths(self, text: str, at: int) -> list[int]:
+        """Lengths of the pieces that start at a place, and 1, in ascending order."""
+        node, out = self.tree.get(text[at]), [1]
+        for i in range(at + 1, len(text)):
+            if node is None:
+                break
+            node = node.get(text[i])
+            if node is not None and "" in node:
+                out.append(i + 1 - at)
+        return out
+
+    def search(self, text: str) -> list[str]:
+        """The path from end to end, longest pieces first, taking back what leads nowhere.
+
+        A prefix has one path, so a place that once led nowhere never does.
+        """
+        at, out, dead = 0, [], set()
+        options = [self._lengths(text, 0)]
+        while at < len(text):
+            left = options[-1]
+            while left:
+                end = at + left.pop()
+                if end not in dead and (not out or self.may_follow(out[-1], text[at:end])):
+                    out.append(text[at:end])
+                    at = end
+                    options.append(self._lengths(text, at) if at < len(text) else [])
+                    break
+            else:
+                dead.add(at)
+                options.pop()
+                at -= len(out.pop())
+        return out
+
     def walk(self, text: str, begin: int, size: list[int], end: int) -> list[str]:
         """The pieces of the path that ends at ``end``."""
         out = []
@@ -114,7 +155,7 @@ class Encoder:
                 out.extend(self.bytes[b] for b in part.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text that begins with the space mark."""
@@ -124,8 +165,7 @@ class Encoder:
             if packed is None:
                 if len(known) >= MEMORY:
                     known.clear()
-                size = self.path(stretch, 0, None, len(stretch), len(stretch))
-                packed = self.ids(self.walk(stretch, 0, size, len(stretch)))
+                packed = self.ids(self.search(stretch))
                 if len(stretch) < 64:
                     known[stretch] = packed
             out.append(packed)
@@ -163,53 +203,45 @@ class Encoder:
                     found.append((i, text[j:i]))
         return found
 
-    def _first_open(self, text: str, a: int, b: int) -> int | None:
-        return next((i for i in range(a, b + 1) if self.open_at(text, i)), None)
-
-    def _reached(self, text: str, state: tuple[int, str], b: int, end: int, first: int | None):
-        """Paths from a state: to the first open place, then to the end of the chunk."""
-        begin, before = state
-        if first is None:
-            return begin, None, self.path(text, begin, before or None, b, end)
-        if begin > first:
-            return begin, [0], [0]
-        head = self.path(text, begin, before or None, first, first)
-        return begin, head, None
+    def _open(self, text: str, places: range) -> int | None:
+        return next((i for i in places if self.open_at(text, i)), None)
 
     def matrix(self, text: str, a: int, b: int) -> np.ndarray:
         """Weights from the states at ``a`` to the states at ``b``."""
         entry, exit_ = self.states(text, a), self.states(text, b)
         end = max(i for i, _ in exit_)
-        first = self._first_open(text, a, b)
+        first, last = self._open(text, range(a, b + 1)), self._open(text, range(b, a - 1, -1))
+        tail = None if last is None else self.path(text, last, None, b, end)
         out = np.full((len(entry), len(exit_)), NO)
-        tail = self.path(text, first, None, b, end) if first is not None else None
-        for row, state in enumerate(entry):
-            begin, head, whole = self._reached(text, state, b, end, first)
-            if head is not None and begin != first and not head[-1]:
+        for row, (begin, before) in enumerate(entry):
+            origin, size = last, tail
+            if first is None:
+                origin, size = begin, self.path(text, begin, before or None, b, end)
+            elif begin > first or (begin < first and not self.path(text, begin, before, first, first)[-1]):
                 continue
-            origin, size = (begin, whole) if head is None else (first, tail)
             for column, (i, piece) in enumerate(exit_):
+                same = first is None and (i, piece) == (begin, before)
                 if not piece:
                     ok = i == origin or (i > origin and size[i - origin] > 0)
-                elif i == begin and i >= b and state == (i, piece):
-                    ok = True
                 else:
-                    ok = i > origin and size[i - origin] == len(piece) and i - len(piece) >= a
+                    ok = same or (i > origin and size[i - origin] == len(piece) and i - len(piece) >= a)
                 if ok:
                     out[row, column] = 0.0
         return out
 
     def trace(self, text: str, a: int, b: int, enter: int, leave: int) -> bytes:
         """Packed ids of the pieces that start in the chunk, for given states."""
-        state, (end, piece) = self.states(text, a)[enter], self.states(text, b)[leave]
-        if state[0] >= end:
-            return b""
-        first = self._first_open(text, a, b)
-        begin, head, whole = self._reached(text, state, b, end, first)
-        if head is None:
-            return self.ids(self.walk(text, begin, whole, end))
-        tail = self.path(text, first, None, b, end)
-        return self.ids(self.walk(text, begin, head, first) + self.walk(text, first, tail, end))
+        (begin, before), (end, _) = self.states(text, a)[enter], self.states(text, b)[leave]
+        first, last = self._open(text, range(a, b + 1)), self._open(text, range(b, a - 1, -1))
+        if first is None:
+            return self.ids(self.walk(text, begin, self.path(text, begin, before or None, b, end), end))
+        head = self.path(text, begin, before or None, first, first)
+        tail = self.path(text, last, None, b, end)
+        return (
+            self.ids(self.walk(text, begin, head, first))
+            + self.encode(text[first:last])
+            + self.ids(self.walk(text, last, tail, end))
+        )
 
 
 def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
