@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerscan.llm import anchors, language, minhash, pieces, quality, suffixes, wordpiece
+from layerscan.llm import anchors, benchmarks, language, minhash, pages, pieces, quality, suffixes, urls, wordpiece
 
 
 def _table(name: str, work: Callable[[DataFrame], DataFrame]):
@@ -16,11 +16,14 @@ def _table(name: str, work: Callable[[DataFrame], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.quality_report,
     "op2_sentencepiece": _table("documents", pieces.piece_report),
+    "op3_url_filters": _table("pages", urls.judge_urls),
+    "op4_html_extraction": _table("pages", pages.page_report),
     "op5_token_counts": _table("documents", wordpiece.count_report),
     "op6_substring_dedup": _table("documents", anchors.dedup_report),
     "op7_suffix_dedup": _table("documents", suffixes.suffix_report),
+    "op8_decontamination": benchmarks.leak_report,
     "op9_language_id": _table("documents", language.language_report),
     "op10_minhash_near_dedup": _table("documents", minhash.near_report),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE}
