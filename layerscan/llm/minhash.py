@@ -7,8 +7,9 @@ compared in batches of signature values and dropped once the posterior
 probability that they are similar enough falls below ``MISS``; the rest are
 confirmed on the full sets. Buckets whose classes then still lie in several
 components are taken up again: their classes meet in blocks of bounded size,
-where pairs across components go through the same bounds and, once each, to
-confirmation on the full sets. No bucket, partner or candidate is capped.
+where pairs across components go through the same bounds; what is left is
+confirmed, once per pair, where the full sets of the block meet, so no row is
+made for a pair. No bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -159,8 +160,8 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
     return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id`` and packed shingle set of the named documents."""
 
     def full(batches):
         for batch in batches:
@@ -170,50 +171,68 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     [batch.column("id").slice(a, b - a), pa.array(packed, pa.binary())], names=["id", "full"]
                 )
 
+    return materialize_in_small_batches(
+        docs.join(ids.distinct(), "id", "left_semi").mapInArrow(full, "id long, full binary"), "sets"
+    )
+
+
+def _similar(left: bytes, right: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("full_a"), batch.column("full_b")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sides = zip(batch.column("full_a"), batch.column("full_b"))
+            keep = [_similar(x.as_py(), y.as_py(), percent) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize_in_small_batches(
-        docs.join(needed, "id", "left_semi").mapInArrow(full, "id long, full binary"), "sets"
-    )
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     joined = pairs.join(sets.toDF("a", "full_a"), "a").join(sets.toDF("b", "full_b"), "b")
     return materialize_in_small_batches(
         joined.select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long"), "links"
     )
 
 
-def _split_buckets(members: DataFrame, named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs across components within the buckets of several components."""
+BUCKET = ("band", "key", "low", "high")
+
+
+def _plausible_in_buckets(members: DataFrame, named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Classes with plausible partners of other components in their bucket.
+
+    Buckets of several components are cut into blocks; a row per class of a
+    pair of blocks holds the partners to be compared, packed.
+    """
     bounds = least_matches(percent)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(table):
+    def run(key, table):
+        band, _, low, high = (k.as_py() for k in key)
         ids, comp, size = (table[c].to_numpy() for c in ("id", "component", "n"))
-        block, low, band = table["block"].to_numpy(), table["low"][0].as_py(), table["band"][0].as_py()
-        single = low == table["high"][0].as_py()
+        block = table["block"].to_numpy()
         signs = _signs(table["sign"].combine_chunks())
         bands = band_keys(signs)
-        found = [schema.empty_table()]
+        partners, used = [b""] * len(ids), np.zeros(len(ids), bool)
         for i in range(len(ids)):
-            if not single and block[i] != low:
+            if low != high and block[i] != low:
                 continue
-            other = np.arange(i + 1, len(ids)) if single else np.flatnonzero(block != low)
+            other = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero(block != low)
             other = other[(comp[other] != comp[i]) & (ids[other] != ids[i])]
             small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             other = other[100 * small >= percent * large]
             # A pair counts in the first band that its classes share.
             other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
             other = other[plausible(signs[i : i + 1], signs[other], bounds)]
-            a, b = np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])
-            found.append(pa.table([pa.array(a), pa.array(b)], schema=schema))
-        return pa.concat_tables(found)
+            if len(other):
+                partners[i] = ids[other].tobytes()
+                used[i] = used[other] = True
+        use = pa.array(used)
+        out = {c: pa.array([k.as_py()] * len(ids), k.type) for c, k in zip(BUCKET, key)}
+        out |= {"id": table["id"], "component": table["component"], "partners": pa.array(partners, pa.binary())}
+        return pa.table(out).filter(use)
 
     several = (
         members.join(named, "id").groupBy("band", "key")
@@ -228,7 +247,41 @@ def _split_buckets(members: DataFrame, named: DataFrame, classes: DataFrame, per
         .select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component")
         .join(classes.select("id", "n", "sign"), "id")
     )
-    return rows.groupBy("band", "key", "low", "high").applyInArrow(run, "a long, b long")
+    schema = "band int, key long, low int, high int, id long, component long, partners binary"
+    return rows.groupBy(*BUCKET).applyInArrow(run, schema)
+
+
+def _linked_in_buckets(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` between components, confirmed on the full sets where a bucket's block meets.
+
+    Components that a block has already linked need no second link from it.
+    """
+
+    def run(table):
+        ids, comp = table["id"].to_pylist(), table["component"].to_pylist()
+        full = dict(zip(ids, table["full"].to_pylist()))
+        component, above = dict(zip(ids, comp)), {c: c for c in comp}
+
+        def top(c):
+            while above[c] != c:
+                above[c] = above[above[c]]
+                c = above[c]
+            return c
+
+        found = []
+        for i, packed in zip(ids, table["partners"].to_pylist()):
+            for j in np.frombuffer(packed, np.int64).tolist():
+                x, y = top(component[i]), top(component[j])
+                if x != y and _similar(full[i], full[j], percent):
+                    above[x] = y
+                    found.append((component[i], component[j]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = _full_sets(rows.select("id"), docs)
+    return materialize(
+        rows.join(sets, "id").groupBy(*BUCKET).applyInArrow(run, "a long, b long"), "links"
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -264,11 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "id", F.coalesce("component", "id").alias("component")
     )
     named = materialize(named, "named")
-    more = _split_buckets(members.select("id", "band", "key"), named, classes, percent)
-    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "more")
-    rest = _confirmed(more, docs, percent)
-    between = rest.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b")
-    joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "whole")
+    more = materialize(_plausible_in_buckets(members.select("id", "band", "key"), named, classes, percent), "more")
+    joined = components(_linked_in_buckets(more, docs, percent)).toDF("component", "whole")
     final = materialize(
         named.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")), "final"
     )
