@@ -107,7 +107,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     return X.reply(table["chunk"].to_numpy(), row[found], keys[found])
 
 
-def _cut(size: int):
+def _cut(size: int, rejoin: bool):
     def work(table: pa.Table, got: pa.ChunkedArray) -> pa.Table:
         known = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in got.to_pylist())])
         data, bounds = text_bytes(table["text"])
@@ -124,10 +124,11 @@ def _cut(size: int):
         gone = covered(at, size, len(words))
         kept, raw = [], data.tobytes()
         for a, b, low, high in zip(words.first[:-1], words.first[1:], bounds[:-1], bounds[1:]):
-            parts = raw[low:high].split()
-            if gone[a:b].any():
+            cut = gone[a:b].any()
+            parts = raw[low:high].split() if cut or rejoin else ()
+            if cut:
                 parts = [parts[i] for i in np.flatnonzero(~gone[a:b])]
-            kept.append(b" ".join(parts).decode())
+            kept.append((b" ".join(parts) if cut or rejoin else raw[low:high]).decode())
         removed = np.diff(np.r_[0, np.cumsum(gone)][words.first])
         columns = {
             "id": table["id"],
@@ -143,12 +144,14 @@ def _cut(size: int):
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50, carry: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50, carry: tuple[str, ...] = (),
+    rejoin: bool = True,
 ) -> DataFrame:
     """Removes the words of every ``size``-word window that a smaller id also has.
 
     Returns ``id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined
-    by one space) and, if any, the carried columns as the struct ``rest``.
+    by one space) and, if any, the carried columns as the struct ``rest``. Without
+    ``rejoin`` a text that loses nothing stays as it is; null becomes empty.
     """
     if size < 2:
         raise ValueError("a window has two words at least")
@@ -161,7 +164,7 @@ def substring_dedup(
     if carry:
         rest = chunks.schema["rest"].dataType.simpleString()
         schema += f", rest {rest}"
-    return X.finish(chunks, repeats, _cut(size), schema)
+    return X.finish(chunks, repeats, _cut(size, rejoin), schema)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def _matches(known: dict, parts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the ``item_ids`` found in each row, and carried columns as ``rest``.
+    """``doc_id``, ``text``, the ``item_ids`` found in it, and carried columns as ``rest``.
 
     Items with equal windows are named by the least id. A null or empty text has
     none; items without id or text match nothing.
@@ -179,7 +179,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (
         rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(known)), schema)
         if i % PASSES == PASSES - 1:
             rows = materialize(rows, "leaks")
-    return rows.select("doc_id", "item_ids", *("rest" for _ in carry[:1]))
+    return rows
 
 
 def _pass(shared):
