@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm import exchange as X
-from layerscan.llm.words import BASE, ids_of, mix, powers, text_bytes
+from layerscan.llm.words import BASE, WORD_BASE, ids_of, mix, powers, range_hashes, text_bytes
 
 GRAM = 32
 MANY = np.uint32(1)
@@ -250,13 +250,9 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     rough = _induce(s, smaller, seeds[np.argsort(s[seeds], kind="stable")], symbols)
     rough = rough[left[rough]]
     # Substrings between neighbouring seeds, named in order; equal ones share a name.
-    ahead, back = powers(BASE, len(s) + 1)
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * ahead[: len(s)], out=sums[1:])
-    ends = np.r_[seeds[1:] + 1, len(s)]
     place = np.empty(len(s), np.int64)
     place[seeds] = np.arange(len(seeds))
-    print_ = mix((sums[ends] - sums[seeds]) * back[seeds] + (ends - seeds).astype(np.uint64))[place[rough]]
+    print_ = range_hashes(s, seeds, np.r_[seeds[1:] + 1, len(s)])[place[rough]]
     names = np.empty(len(seeds), np.int64)
     names[place[rough]] = np.cumsum(np.r_[False, print_[1:] != print_[:-1]])
     count = int(names.max()) + 1
@@ -301,13 +297,7 @@ def _shard(size: int):
         raw = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint8)
         ends = np.cumsum(about["size"])
         begins = ends - about["size"]
-        ahead, back = powers(BASE, len(raw) + 1)
-        prints = []
-        for base in (BASE, 0xD1342543DE82EF95):
-            ahead, back = powers(base, len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * ahead[: len(raw)], out=sums[1:])
-            prints.append(mix((sums[ends] - sums[begins]) * back[begins] + about["size"].astype(np.uint64)))
+        prints = [range_hashes(raw, begins, ends, base) for base in (BASE, WORD_BASE[0])]
         order = np.lexsort((about["at"], about["id"], *prints))
         sorted_ = about[order]
         new = np.r_[True, (prints[0][order][1:] != prints[0][order][:-1]) | (prints[1][order][1:] != prints[1][order][:-1])]
@@ -401,7 +391,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     """
     if size < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    n = X.sides(docs, text, 8000)
+    n = X.sides(docs, text, 4000)
     chunks = X.chunked(docs, id_col, text, (), n)
     grams = X.answer(X.ask(chunks, _grams_of(n, size)), _repeated)
     repeats = X.answer(X.ask_again(chunks, grams, _stretches(n, size)), _shard(size))

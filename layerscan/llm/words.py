@@ -6,8 +6,6 @@ Hashes are polynomials modulo 2^64, taken from prefix sums and then mixed.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,8 +26,10 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@functools.cache
-def _powers_cached(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _make_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     ahead = np.full(size, base, np.uint64)
     back = np.full(size, pow(base, -1, 1 << 64), np.uint64)
     ahead[0] = back[0] = 1
@@ -38,7 +38,9 @@ def _powers_cached(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``size`` powers of ``base`` and of its inverse modulo 2^64."""
-    return _powers_cached(base, 1 << max(16, int(size).bit_length()))
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        _POWERS[base] = _make_powers(base, 1 << max(16, int(size - 1).bit_length()))
+    return _POWERS[base]
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,27 +92,35 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash per word. Words beyond SLICE bytes are hashed one by one."""
-        out = np.empty(len(self), np.uint64)
-        long = np.flatnonzero(self.ends - self.starts > SLICE)
-        ends = self.ends.copy()
-        ends[long] = self.starts[long]
-        ahead, back = powers(BASE, 2 * SLICE)
-        cuts = np.searchsorted(self.starts, np.arange(0, len(self.data) + SLICE, SLICE))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            low, high = self.starts[a], max(ends[b - 1], self.starts[b - 1])
-            sums = np.zeros(high - low + 1, np.uint64)
-            part = self.data[low:high].astype(np.uint64)
-            part += np.uint64(1)
-            part *= ahead[: high - low]
-            np.cumsum(part, out=sums[1:])
-            s, e = self.starts[a:b] - low, ends[a:b] - low
-            out[a:b] = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(BASE)
-        for i in long:
-            out[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
-        return mix(out)
+        """A 64-bit hash per word."""
+        return range_hashes(self.data, self.starts, self.ends)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each range of ``data``, for ranges in order of their starts.
+
+    Works in slices, so memory stays small; ranges beyond SLICE are hashed alone.
+    """
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > SLICE)
+    stops = ends.copy()
+    stops[long] = starts[long]
+    ahead, back = powers(base, 2 * SLICE)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + SLICE, SLICE))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        low, high = starts[a], max(stops[a:b].max(), starts[b - 1])
+        sums = np.zeros(high - low + 1, np.uint64)
+        part = data[low:high].astype(np.uint64)
+        part += np.uint64(1)
+        part *= ahead[: high - low]
+        np.cumsum(part, out=sums[1:])
+        s, e = starts[a:b] - low, stops[a:b] - low
+        out[a:b] = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(base)
+    for i in long:
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), base)
+    return mix(out)
 
 
 def window_hashes(
