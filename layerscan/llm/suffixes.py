@@ -391,7 +391,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     """
     if size < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    n = X.sides(docs, text, 4000)
+    n = X.sides(docs, text, 2000)
     chunks = X.chunked(docs, id_col, text, (), n)
     grams = X.answer(X.ask(chunks, _grams_of(n, size)), _repeated)
     repeats = X.answer(X.ask_again(chunks, grams, _stretches(n, size)), _shard(size))
