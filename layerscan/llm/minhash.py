@@ -66,7 +66,8 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE):
 
 def signature(keys: np.ndarray) -> np.ndarray:
     """Sixteen bits of the least of each of VALUES permutations of the keys."""
-    small = (keys >> np.uint64(32)).astype(np.uint32)
+    # No permutation moves 0.
+    small = np.maximum((keys >> np.uint64(32)).astype(np.uint32), np.uint32(1))
     least = np.full(VALUES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(small), 1024):
         np.minimum(least, (small[None, i : i + 1024] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
