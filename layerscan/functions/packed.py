@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -28,15 +30,25 @@ def unpack_temps(temps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(samples))
 
 
-@arrow_udf(T.BinaryType())
-def pack_pixels(positions: pa.Array, temps: pa.Array, sizes: pa.Array) -> pa.Array:
-    """Packed image of ``size`` pixels with ``temps`` at ``positions``, zero elsewhere."""
-    size = sizes.to_numpy()
-    ends = np.concatenate(([0], np.cumsum(size)))
-    if ends[-1] * SAMPLE.itemsize > np.iinfo(np.int32).max:
-        raise ValueError("images too large for one batch: lower arrow.maxRecordsPerBatch")
-    image_of = np.repeat(np.arange(len(size)), positions.value_lengths().to_numpy())
-    samples = np.zeros(ends[-1], SAMPLE)
-    samples[ends[image_of] + positions.flatten().to_numpy()] = temps.flatten().to_numpy()
-    offsets = pa.py_buffer((ends * SAMPLE.itemsize).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(samples)])
+def pack_images(
+    batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int = 64 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Packed images of ``size`` pixels from ``positions`` and ``temps``, zero elsewhere.
+
+    The two lists come last and give way to the image. Images are sent in
+    chunks of bounded size, since sparse lists do not bound them.
+    """
+    rows = max(1, chunk_bytes // (size * SAMPLE.itemsize))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            *kept, positions, temps = part.columns
+            image_of = np.repeat(np.arange(part.num_rows), positions.value_lengths().to_numpy())
+            samples = np.zeros(part.num_rows * size, SAMPLE)
+            samples[image_of * size + positions.flatten().to_numpy()] = temps.flatten().to_numpy()
+            offsets = np.arange(part.num_rows + 1) * (size * SAMPLE.itemsize)
+            images = pa.Array.from_buffers(
+                pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(samples)]
+            ).cast(pa.binary())
+            names = [*part.schema.names[:-2], "temps"]
+            yield pa.RecordBatch.from_arrays([*kept, images], names=names)

@@ -42,12 +42,9 @@ def dbscan(
     """
     eps, by = params.dbscan_eps, list(by)
     marked = materialize(mark_core(points, eps, params.dbscan_min_pts, by), "marked")
-    far = (F.col("cx") >= params.block_cells) | (F.col("cy") >= params.block_cells)
-    far |= (F.col("cx") < 0) | (F.col("cy") < 0)
     core = spread(marked.filter("is_core"), by)
-    cells = cell_lines(core, by)
-    one_block = marked.filter(far).isEmpty()
-    labels = component_labels(cell_edges(cells, params, by), by, one_block)
+    cells = materialize(cell_lines(core, by), "cells")
+    labels = component_labels(cell_edges(cells, params, by), by)
     clusters = (
         cells.select(*by, "cx", "cy", "node")
         .join(labels, [*by, "node"], "left")

@@ -28,6 +28,8 @@ def arrival_seq(
     Rows are numbered inside buckets of neighbouring arrival numbers; a
     running sum over the buckets' row counts gives each bucket its offset.
     ``bucket`` must grow with ``order_cols``; the default suits ``batch_id``.
+    Rows without a key form a key of their own, rows without an order number
+    come first: none is lost.
     """
     keys = list(params.key_cols)
     if bucket is None:
@@ -41,15 +43,18 @@ def arrival_seq(
         bucketed.groupBy(*keys, "bucket")
         .agg(F.count(F.lit(1)).alias("bucket_rows"))
         .select(
-            *keys,
-            "bucket",
+            *(F.col(c).alias(f"offset_{c}") for c in (*keys, "bucket")),
             F.coalesce(F.sum("bucket_rows").over(earlier), F.lit(0)).alias("offset"),
         )
     )
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy(*order_cols)
+    same = F.lit(True)
+    for c in (*keys, "bucket"):
+        same &= F.col(c).eqNullSafe(F.col(f"offset_{c}"))
+    # Images may stand in these rows, and no estimate knows their size.
     return (
         bucketed.withColumn("place", F.row_number().over(in_bucket))
-        .join(offsets, [*keys, "bucket"])
+        .join(offsets.hint("merge"), same)
         .select(*df.columns, (F.col("place") + F.col("offset")).cast("int").alias("seq"))
     )
 

@@ -22,11 +22,6 @@ def place_by_tile(df: DataFrame, n: int, tile: str = "tile_id") -> DataFrame:
     return placed.repartitionById(n, "tile_partition").drop("tile_partition")
 
 
-def place_by_key(df: DataFrame, n: int, params: Params = Params()) -> DataFrame:
-    """Hash placement by the key columns."""
-    return df.repartition(n, *params.key_cols)
-
-
 def with_halo(
     pixels: DataFrame, height: int | Column, block_rows: int, params: Params = Params()
 ) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from layerscan.functions.packed import pack_pixels, unpack_temps
+from layerscan.functions.packed import pack_images, unpack_temps
 from layerscan.functions.pixel import is_candidate, is_saturated
 from layerscan.params import Params
 from layerscan.schema import FRAME, IMAGE
@@ -21,17 +22,15 @@ def frames_from_pixels(
     A group is one image, so its size is bounded by width * height.
     """
     position = (F.col("y") * width + F.col("x")).cast("int")
-    return (
+    cells = (
         pixels.groupBy(*image)
         .agg(F.collect_list(F.struct(position.alias("pos"), "temp")).alias("cells"))
-        .select(
-            *image,
-            F.lit(width).alias("width"),
-            F.lit(height).alias("height"),
-            pack_pixels(
-                F.col("cells.pos"), F.col("cells.temp"), F.lit(width * height)
-            ).alias("temps"),
-        )
+        .select(*image, "cells.pos", "cells.temp")
+    )
+    schema = T.StructType([*cells.schema.fields[:-2], T.StructField("temps", T.BinaryType())])
+    packed = cells.mapInArrow(lambda batches: pack_images(batches, width * height), schema)
+    return packed.select(
+        *image, F.lit(width).alias("width"), F.lit(height).alias("height"), "temps"
     )
 
 

@@ -28,7 +28,11 @@ def has_payload(payload: str = "tif") -> Column:
 def mark_rejects(
     records: DataFrame, payload: str | None = "tif", payload_error: Column | None = None
 ) -> DataFrame:
-    """Pass every record through, with ``reject_reason`` null for good ones."""
+    """Pass every record through, with ``reject_reason`` null for good ones.
+
+    A record without a print is good; it needs its tile, layer and arrival
+    number. A payload that is null for an error is bad, not missing.
+    """
     all_null = F.lit(True)
     for name in records.columns:
         all_null &= F.col(name).isNull()
@@ -38,8 +42,11 @@ def mark_rejects(
         .when(F.col("tile_id") == END_MARKER_TILE, END_MARKER)
     )
     if payload is not None:
-        reason = reason.when(~has_payload(payload), NO_PAYLOAD)
-    for name in ("batch_id", "print_id", "layer"):
+        missing = ~has_payload(payload)
+        if payload_error is not None:
+            missing &= payload_error.isNull()
+        reason = reason.when(missing, NO_PAYLOAD)
+    for name in ("batch_id", "layer"):
         if name in records.columns:
             reason = reason.when(F.col(name).isNull(), INCOMPLETE)
     if payload_error is not None:

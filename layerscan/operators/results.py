@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.operators.neighbours import POINT_SET
 from layerscan.schema import CENTROID, RESULTS
 
 
+def named_print() -> Column:
+    """A print's name that is never null, so that joins on it lose nothing."""
+    return F.coalesce(F.concat(F.lit("="), "print_id"), F.lit(""))
+
+
+def print_of_name() -> Column:
+    return F.when(F.col("print_id") != "", F.substring("print_id", 2, 1 << 30))
+
+
 def nest_centroids(clusters: DataFrame, by: Sequence[str] = POINT_SET) -> DataFrame:
     """Ranked clusters (at most ``top_k`` rows per image) as one array."""
     entry = F.struct("rank", "x", "y", "count")

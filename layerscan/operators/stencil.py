@@ -61,7 +61,8 @@ def neighbour_pairs(pixels: DataFrame, params: Params = Params()) -> DataFrame:
         "y as n_y",
         "cast(temp as bigint) as n_temp",
     )
-    return targets.join(neighbours, [*params.key_cols, "n_seq", "n_x", "n_y"], "left").select(
+    # The estimate of exploded pixels is far too low to base a broadcast on.
+    return targets.join(neighbours.hint("merge"), [*params.key_cols, "n_seq", "n_x", "n_y"], "left").select(
         *FRAME, "x", "y", "kind", "layer_offset", "dx", "dy", "n_temp"
     )
 

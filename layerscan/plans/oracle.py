@@ -156,6 +156,25 @@ JOIN (SELECT print_id, tile_id, seq, count(*) FILTER (temp > 65000) AS saturated
       FROM grid GROUP BY ALL) s USING (print_id, tile_id, seq)
 LEFT JOIN top t USING (print_id, tile_id, seq)"""
 
+# All prints on a tile share one window.
+SHARED_FRAMES = FRAMES.replace("PARTITION BY print_id, tile_id", "PARTITION BY tile_id")
+SHARED_PAIRS = PAIRS.replace("n.print_id = t.print_id AND ", "")
+
+# Records that come an append late count on arrival.
+LATE_FRAMES = FRAMES.replace(
+    "ORDER BY batch_id, layer",
+    """ORDER BY least(2, batch_id * 3 // (SELECT max(batch_id) + 1 FROM cells)
+             + CAST(batch_id % 11 = 3 AS INTEGER)), batch_id, layer""",
+)
+
+# Damaged messages: some cannot be used, some have no print.
+GOOD_CELLS = """
+cells AS (
+  SELECT * REPLACE (CASE WHEN batch_id % 9 = 5 THEN '' ELSE print_id END AS print_id)
+  FROM all_cells WHERE batch_id % 9 NOT IN (1, 2, 3, 4)
+)"""
+DAMAGED = (ORDER_CELLS.replace("cells AS", "all_cells AS", 1), GOOD_CELLS)
+
 TO_GRID = (FRAMES, GRID)
 TO_SUMS = (*TO_GRID, OFFSETS, PAIRS, SUMS)
 TO_OUTLIERS = (*TO_SUMS, MEANS, OUTLIERS)
@@ -180,6 +199,19 @@ def _diamond(radius: int) -> str:
     return f"CAST(sum(n.temp) FILTER ({inside}) AS BIGINT) AS d{radius}"
 
 
+def _results_with(cells: tuple, frames: str, pairs: str, then: str = RESULTS) -> str:
+    """Results at the small radius under another order of frames."""
+    to_outliers = (frames, GRID, OFFSETS, pairs, SUMS, MEANS, OUTLIERS)
+    return _with(*cells, *to_outliers, _clusters(4), CENTROIDS, TOP, then=then)
+
+
+# One row per image, as the JSON text of its centroids.
+NESTED = f"""
+SELECT batch_id, query, print_id, tile_id, layer, saturated,
+       CAST(to_json(coalesce(list(struct_pack(x := x, y := y, count := count) ORDER BY rank)
+         FILTER (rank IS NOT NULL), [])) AS VARCHAR) AS centroids
+FROM ({RESULTS}) GROUP BY ALL"""
+
 ALL_LABELS = "SELECT print_id, tile_id, seq, x, y, cluster_id, is_core FROM labels"
 
 ORACLE: dict[str, str] = {
@@ -214,6 +246,13 @@ SELECT event_id, user_id, CAST(row_number() OVER w AS INTEGER) AS seq, value,
        lag(event_id, 1) OVER w AS event_1, lag(value, 1) OVER w AS value_1,
        lag(event_id, 2) OVER w AS event_2, lag(value, 2) OVER w AS value_2
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "keyless_window3": """
+SELECT event_id, user_id, CAST(row_number() OVER w AS INTEGER) AS seq, value,
+       lag(event_id, 1) OVER w AS event_1, lag(value, 1) OVER w AS value_1,
+       lag(event_id, 2) OVER w AS event_2, lag(value, 2) OVER w AS value_2
+FROM (SELECT event_id, CASE WHEN event_id % 13 > 0 THEN user_id END AS user_id, value,
+        CASE WHEN event_id % 17 > 0 THEN ts END AS ts FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)""",
     "watermark_layers": _with(
         ORDER_CELLS,
         FRAMES,
@@ -263,6 +302,7 @@ GROUP BY ALL""",
     "neighbour_means": _with(ORDER_CELLS, *TO_SUMS, MEANS, then="SELECT * FROM means"),
     "outlier_pixels": _with(ORDER_CELLS, *TO_OUTLIERS, then="SELECT * FROM outliers"),
     "outlier_pixels_rows": _with(ORDER_CELLS, *TO_OUTLIERS, then="SELECT * FROM outliers"),
+    "outlier_bands": _with(ORDER_CELLS, *TO_OUTLIERS, then="SELECT * FROM outliers"),
     "outliers_embeddings": _with(VECTOR_CELLS, *TO_OUTLIERS, then="SELECT * FROM outliers"),
     "frame_saturation": _with(
         ORDER_CELLS,
@@ -280,6 +320,17 @@ SELECT a.print_id, a.tile_id, a.seq, a.x, a.y, b.x AS near_x, b.y AS near_y
 FROM outliers a JOIN outliers b ON a.print_id = b.print_id AND a.tile_id = b.tile_id
   AND a.seq = b.seq AND (a.x <> b.x OR a.y <> b.y)
   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4""",
+    ),
+    "eps_neighbours": _with(
+        ORDER_CELLS,
+        *TO_OUTLIERS,
+        then="""
+SELECT a.print_id, a.tile_id, a.seq, a.x, a.y, count(*) AS neighbours,
+       arg_min(b.x, b.y * 4096 + b.x) AS first_x, min(b.y) AS first_y
+FROM outliers a JOIN outliers b ON a.print_id = b.print_id AND a.tile_id = b.tile_id
+  AND a.seq = b.seq AND (a.x <> b.x OR a.y <> b.y)
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4
+GROUP BY ALL""",
     ),
     "core_points": _with(
         VECTOR_CELLS,
@@ -292,14 +343,32 @@ FROM outliers a LEFT JOIN outliers b ON a.print_id = b.print_id AND a.tile_id =
 GROUP BY ALL""",
     ),
     "dbscan_labels": _labels(VECTOR_CELLS, 4, ALL_LABELS),
+    "dbscan_blocks": _labels(VECTOR_CELLS, 4, ALL_LABELS),
     "dbscan_labels_default": _labels(ORDER_CELLS, 400, ALL_LABELS),
     "cluster_centroids": _labels(VECTOR_CELLS, 4, "SELECT * FROM centroids", CENTROIDS),
     "top10_clusters": _labels(VECTOR_CELLS, 4, "SELECT * FROM top", CENTROIDS, TOP),
+    "tile_results": _labels(ORDER_CELLS, 400, NESTED, CENTROIDS, TOP),
+    "shared_tile_results": _results_with((ORDER_CELLS,), SHARED_FRAMES, SHARED_PAIRS),
     "tile_results_flat": _results(ORDER_CELLS, 4),
     "tile_results_embeddings": _results(VECTOR_CELLS, 4),
     "default_eps_results": _results(ORDER_CELLS, 400),
     "message_results": _results(ORDER_CELLS, 4),
+    "damaged_results": _results_with(
+        DAMAGED,
+        FRAMES,
+        PAIRS,
+        then=f"SELECT * REPLACE (nullif(print_id, '') AS print_id) FROM ({RESULTS})",
+    ),
+    "reject_counts": _with(
+        ORDER_CELLS,
+        FRAMES,
+        then="""
+SELECT CASE batch_id % 9 WHEN 1 THEN 'no_payload' WHEN 2 THEN 'bad_payload' WHEN 3 THEN 'no_tile'
+         WHEN 4 THEN 'end_marker' END AS reject_reason, count(*) AS records
+FROM frames GROUP BY ALL""",
+    ),
     "stream_results": _results(ORDER_CELLS, 4),
+    "stream_late_results": _results_with((ORDER_CELLS,), LATE_FRAMES, PAIRS),
     "tile_partition": """
 SELECT event_id,
        CAST(CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 15

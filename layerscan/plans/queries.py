@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerscan.operators.bands import band_windows, frame_counts, outliers, scan_bands
@@ -34,7 +34,7 @@ from layerscan.operators.stencil import (
     outlier_rows,
 )
 from layerscan.params import Params
-from layerscan.plans.analyze import analyze, write_results
+from layerscan.plans.analyze import analyze, analyze_counted, write_results
 from layerscan.session import fresh_path, materialize
 from layerscan.sources.messages import (
     check_messages,
@@ -81,6 +81,23 @@ def _vector_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers(sequenced(vector_frames(spark, sf_dir))).select(*POINT)
 
 
+def _append_of(batches: int) -> Column:
+    """Which of three appends a message comes with: cut by arrival number."""
+    return F.floor(F.col("batch_id") * 3 / batches).cast("int")
+
+
+def _damaged(messages: DataFrame) -> DataFrame:
+    """Messages of which some have no payload, a bad one, no tile, or no print."""
+    turn = F.col("batch_id") % 9
+    return messages.select(
+        "batch_id",
+        F.when(turn == 5, None).otherwise(F.col("print_id")).alias("print_id"),
+        F.when(turn == 3, None).when(turn == 4, -1).otherwise(F.col("tile_id")).alias("tile_id"),
+        "layer",
+        F.when(turn == 1, None).when(turn == 2, F.substring("tif", 1, 200)).otherwise(F.col("tif")).alias("tif"),
+    )
+
+
 def _vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan(_vector_outliers(spark, sf_dir), FINE)
 
@@ -149,13 +166,26 @@ def layer_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_window3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three events of each user, by time."""
+    return _last_three(table(spark, sf_dir, "events"))
+
+
+def keyless_window3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with events that lack their user or time: none is lost."""
+    return _last_three(
+        table(spark, sf_dir, "events")
+        .withColumn("user_id", F.when(F.col("event_id") % 13 > 0, F.col("user_id")))
+        .withColumn("ts", F.when(F.col("event_id") % 17 > 0, F.col("ts")))
+    )
+
+
+def _last_three(events: DataFrame) -> DataFrame:
     by_user = Params(key_cols=("user_id",))
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    events = events.select("event_id", "ts", "user_id", "value")
     numbered = arrival_seq(
         events,
         by_user,
         order_cols=("ts", "event_id"),
-        bucket=F.unix_date(F.to_date("ts")),
+        bucket=F.unix_date(F.to_date("ts")) * 1440 + F.hour("ts") * 60 + F.minute("ts"),
     )
     return layer_window(numbered, ["event_id", "value"], by_user).select(
         "event_id",
@@ -212,6 +242,11 @@ def outlier_pixels_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_rows(_pixels(spark, sf_dir))
 
 
+def outlier_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from bands of eight rows."""
+    return outliers(_frames(spark, sf_dir), Params(band_rows=8))
+
+
 def outliers_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers(sequenced(vector_frames(spark, sf_dir)))
 
@@ -228,6 +263,15 @@ def eps_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eps_join(materialize(_order_outliers(spark, sf_dir), "points"), 2.0)
 
 
+def eps_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of each flagged pixel that has any: their number and the first one."""
+    pairs = eps_join(materialize(_order_outliers(spark, sf_dir), "points"), 2.0)
+    first = F.min(F.struct("near_y", "near_x"))
+    return pairs.groupBy(*POINT).agg(F.count(F.lit(1)).alias("neighbours"), first.alias("first")).select(
+        *POINT, "neighbours", F.col("first.near_x").alias("first_x"), F.col("first.near_y").alias("first_y")
+    )
+
+
 def core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_core(_vector_outliers(spark, sf_dir), FINE.dbscan_eps, FINE.dbscan_min_pts)
     return marked.select(*POINT, "is_core")
@@ -237,6 +281,11 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_labels(spark, sf_dir)
 
 
+def dbscan_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with blocks so small that clusters cross them."""
+    return dbscan(_vector_outliers(spark, sf_dir), Params(dbscan_eps=2.0, block_cells=2))
+
+
 def dbscan_labels_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan(_order_outliers(spark, sf_dir))
 
@@ -253,7 +302,15 @@ def top10_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(order_frames(spark, sf_dir))
+    """One row per image; its centroids as JSON text."""
+    results = analyze(order_frames(spark, sf_dir))
+    return results.withColumn("centroids", F.to_json("centroids"))
+
+
+def shared_tile_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prints on a tile share one window."""
+    shared = Params(dbscan_eps=2.0, key_cols=("tile_id",))
+    return flatten_results(analyze(order_frames(spark, sf_dir), shared))
 
 
 def tile_results_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,22 +334,47 @@ def message_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_results(spark.read.parquet(out))
 
 
-def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same messages replayed as a stream, a few files at a time."""
-    path = fresh_path(spark, "stream-in")
-    messages = encode_frames(order_frames(spark, sf_dir))
-    messages.repartitionByRange(4, "batch_id").write.parquet(path)
-    out = fresh_path(spark, "stream-out")
-    query = analyze_stream(
-        stream_messages(spark, path, files_per_trigger=2),
-        out,
-        fresh_path(spark, "stream-checkpoint"),
-        FINE,
-    )
-    query.awaitTermination()
+def damaged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of messages of which some cannot be used and some have no print."""
+    return flatten_results(analyze(_damaged(encode_frames(order_frames(spark, sf_dir))), FINE))
+
+
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the same messages by reject reason, counted by the analysis."""
+    return analyze_counted(_damaged(encode_frames(order_frames(spark, sf_dir))), FINE)[1]
+
+
+def _streamed(spark: SparkSession, messages: DataFrame, append: Column) -> DataFrame:
+    """Results of a stream that runs after each append, on from its last state."""
+    path, out = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-out")
+    state = fresh_path(spark, "stream-checkpoint")
+    messages = materialize(messages.withColumn("append", append), "stream-messages")
+    for turn in range(3):
+        messages.filter(F.col("append") == turn).drop("append").write.mode("append").parquet(path)
+        source = stream_messages(spark, path, files_per_trigger=1 << 20)
+        analyze_stream(source, out, state, FINE).awaitTermination()
     return flatten_results(read_results(spark, out))
 
 
+def _with_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Messages, and the number that all arrival numbers are below."""
+    messages = materialize(encode_frames(order_frames(spark, sf_dir)), "messages")
+    return messages, messages.agg(F.max("batch_id")).first()[0] + 1
+
+
+def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as a stream in three appends that cut prints in two."""
+    messages, batches = _with_batches(spark, sf_dir)
+    return _streamed(spark, messages, _append_of(batches))
+
+
+def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with records that come an append late: each counts on arrival."""
+    messages, batches = _with_batches(spark, sf_dir)
+    late = (F.col("batch_id") % 11 == 3).cast("int")
+    return _streamed(spark, messages, F.least(_append_of(batches) + late, F.lit(2)))
+
+
 # Placement.
 
 
@@ -321,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "arrival_seq": arrival_order,
     "layer_window": layer_window_rows,
     "event_window3": event_window3,
+    "keyless_window3": keyless_window3,
     "watermark_layers": watermark_layers,
     "saturated_count": saturated_pixels,
     "candidate_pixels": candidates,
@@ -330,20 +413,27 @@ QUERIES: dict[str, Query] = {
     "neighbour_means": means,
     "outlier_pixels": outlier_pixels,
     "outlier_pixels_rows": outlier_pixels_rows,
+    "outlier_bands": outlier_bands,
     "outliers_embeddings": outliers_embeddings,
     "frame_saturation": frame_saturation,
     "eps_pairs": eps_pairs,
+    "eps_neighbours": eps_neighbours,
     "core_points": core_points,
     "dbscan_labels": dbscan_labels,
+    "dbscan_blocks": dbscan_blocks,
     "dbscan_labels_default": dbscan_labels_default,
     "cluster_centroids": centroids,
     "top10_clusters": top10_clusters,
     "tile_results": tile_results,
+    "shared_tile_results": shared_tile_results,
     "tile_results_flat": tile_results_flat,
     "tile_results_embeddings": tile_results_embeddings,
     "default_eps_results": default_eps_results,
     "message_results": message_results,
+    "damaged_results": damaged_results,
+    "reject_counts": reject_counts,
     "stream_results": stream_results,
+    "stream_late_results": stream_late_results,
     "tile_partition": tile_placement,
     "placed_tiles": placed_tiles,
     "halo_blocks": halo_blocks,

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerscan.functions.packed import SAMPLE
-from layerscan.operators.layers import arrival_seq
-from layerscan.operators.records import mark_rejects
-from layerscan.params import Params
+from layerscan.operators.records import mark_rejects, split_valid
 from layerscan.schema import MESSAGES
 
 # Fixed values of the TIFF format: tags, and the field types read here.
@@ -34,13 +32,9 @@ TAG_STRIP_BYTES = 279
 FIELD_FORMATS = {3: "H", 4: "I"}
 
 
-def read_messages(spark: SparkSession, path: str, batch_limit: int = 0) -> DataFrame:
-    """Stored messages; ``batch_limit`` > 0 keeps the first arrivals only."""
-    messages = spark.read.schema(MESSAGES).parquet(path)
-    if batch_limit <= 0:
-        return messages
-    arrivals = arrival_seq(messages, Params(key_cols=()))
-    return arrivals.filter(F.col("seq") <= batch_limit).drop("seq")
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Stored messages."""
+    return spark.read.schema(MESSAGES).parquet(path)
 
 
 def stream_messages(
@@ -107,8 +101,11 @@ def payload_error(tif: str) -> Column:
     return F.arrow_udf(errors, T.StringType())(tif)
 
 
-def decode_frames(messages: DataFrame) -> DataFrame:
-    """Packed frames from messages whose payload passed the check."""
+def decoded_messages(messages: DataFrame) -> DataFrame:
+    """Every message with its image in place of its payload, and ``reject_reason``.
+
+    Payloads are checked and decoded in one pass; rejects have no image.
+    """
     kept = [f for f in messages.schema.fields if f.name != "tif"]
     schema = T.StructType(
         kept
@@ -116,9 +113,16 @@ def decode_frames(messages: DataFrame) -> DataFrame:
             T.StructField("width", T.IntegerType()),
             T.StructField("height", T.IntegerType()),
             T.StructField("temps", T.BinaryType()),
+            T.StructField("payload_error", T.StringType()),
         ]
     )
-    return messages.select(*(f.name for f in kept), "tif").mapInArrow(_decode_batches, schema)
+    decoded = messages.select(*(f.name for f in kept), "tif").mapInArrow(_decode_batches, schema)
+    return mark_rejects(decoded, "temps", F.col("payload_error")).drop("payload_error")
+
+
+def decode_frames(messages: DataFrame) -> DataFrame:
+    """Packed frames of the messages that are not rejects."""
+    return split_valid(decoded_messages(messages))[0]
 
 
 def encode_frames(frames: DataFrame) -> DataFrame:
@@ -137,16 +141,17 @@ def encode_frames(frames: DataFrame) -> DataFrame:
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         meta = batch.select([n for n in batch.schema.names if n != "tif"])
-        decoded = [_decode(p.as_buffer()) for p in batch.column("tif")]
-        widths, heights, temps = zip(*decoded) if decoded else ((), (), ())
+        decoded = [_decoded(p.as_buffer() if p.is_valid else None) for p in batch.column("tif")]
+        widths, heights, temps, errors = zip(*decoded) if decoded else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [
                 *meta.columns,
                 pa.array(widths, pa.int32()),
                 pa.array(heights, pa.int32()),
                 pa.array(temps, pa.binary()),
+                pa.array(errors, pa.string()),
             ],
-            names=[*meta.schema.names, "width", "height", "temps"],
+            names=[*meta.schema.names, "width", "height", "temps", "payload_error"],
         )
 
 
@@ -158,13 +163,19 @@ def _error_of(payload: pa.Buffer) -> str | None:
     return None
 
 
-def _decode(payload: pa.Buffer) -> tuple[int, int, bytes]:
+def _decoded(payload: pa.Buffer | None) -> tuple:
+    """Width, height and samples, and the error if there is one."""
+    if payload is None:
+        return None, None, None, None
     view = memoryview(payload)
-    order, width, height, strips = _strips(view)
+    try:
+        order, width, height, strips = _strips(view)
+    except (struct.error, ValueError, KeyError) as problem:
+        return None, None, None, str(problem) or type(problem).__name__
     samples = b"".join(view[start : start + length] for start, length in strips)
     if order == ">":
         samples = np.frombuffer(samples, ">u2").astype(SAMPLE).tobytes()
-    return width, height, samples
+    return width, height, samples, None
 
 
 def _strips(view: memoryview) -> tuple[str, int, int, list[tuple[int, int]]]:
@@ -210,6 +221,8 @@ def _read_tags(view: memoryview, order: str) -> dict[int, list[int]]:
         tag, kind, count = struct.unpack_from(order + "HHI", view, at)
         if kind not in FIELD_FORMATS:
             continue
+        if not count:
+            raise ValueError(f"tag {tag} is empty")
         values = f"{order}{count}{FIELD_FORMATS[kind]}"
         if count * struct.calcsize(FIELD_FORMATS[kind]) > 4:
             (where,) = struct.unpack_from(order + "I", view, at + 8)

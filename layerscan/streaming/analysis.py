@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.storagelevel import StorageLevel
 
 from layerscan.operators.bands import scan_bands
 from layerscan.operators.records import split_valid
 from layerscan.params import Params
 from layerscan.plans.analyze import results_of
-from layerscan.sources.messages import check_messages, decode_frames
+from layerscan.session import materialize, scratch
+from layerscan.sources.messages import decode_frames, decoded_messages
 from layerscan.streaming.window import streaming_band_windows
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -52,19 +52,14 @@ def analyze_stream(
     present at its start is done, otherwise it runs on.
     """
     spark = messages.sparkSession
-    good, _ = split_valid(check_messages(messages))
-    windows = streaming_band_windows(decode_frames(good), params)
+    windows = streaming_band_windows(decode_frames(messages), params)
     scanned = scan_bands(windows, params)
 
     def write_results(batch: DataFrame, batch_id: int) -> None:
-        # The stateful step must run once per micro-batch; a lost block is
-        # recomputed from the state version the batch started with.
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            results = results_of(batch, params)
+        # The stateful step runs once per micro-batch: what it gives is stored.
+        with scratch(batch.sparkSession):
+            results = results_of(materialize(batch, "scanned"), params)
             results.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
-        finally:
-            batch.unpersist()
 
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)
@@ -78,7 +73,7 @@ def store_rejects(
     messages: DataFrame, out: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Start a query that keeps the unusable records of a stream, with reasons."""
-    _, rejects = split_valid(check_messages(messages))
+    _, rejects = split_valid(decoded_messages(messages).drop("width", "height", "temps"))
 
     def write_rejects(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
@@ -96,12 +91,6 @@ def _start(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def print_results(results: DataFrame, available_now: bool = True) -> StreamingQuery:
-    """Show each row of a result stream on the console."""
-    writer = results.writeStream.format("console").option("truncate", False)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 def read_results(spark: SparkSession, out: str) -> DataFrame:
     """All results a stream has written so far."""
     return spark.read.parquet(out).drop("micro_batch")

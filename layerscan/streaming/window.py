@@ -81,13 +81,16 @@ class SlotHistory(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrivals = pd.concat(list(rows)).sort_values(["batch_id", "layer"], kind="stable")
+        # Images stay in Arrow-backed pieces; only references to rows are sorted.
+        arrivals = [frame for piece in rows for frame in piece.to_dict("records")]
+        arrivals.sort(key=lambda frame: (frame["batch_id"], frame["layer"]))
         seen = self.frames_seen.get()
         seq = seen[0] if seen else 0
         held = {(e[0], e[1]): (e[2], e[3], e[4]) for e in self.held.get()}
         steps = range(1, self.params.history + 1)
         out = []
-        for frame in arrivals.to_dict("records"):
+        for at, frame in enumerate(arrivals):
+            arrivals[at] = None
             seq += 1
             for piece in frame.pop("pieces"):
                 band = piece["band"]

@@ -3,9 +3,11 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import random_images
 
+from layerscan.functions.packed import pack_images
 from layerscan.operators.records import (
     mark_rejects,
     observe_rejects,
@@ -16,6 +18,7 @@ from layerscan.session import fresh_path
 from layerscan.sources.messages import (
     check_messages,
     decode_frames,
+    decoded_messages,
     encode_frames,
     read_messages,
     read_tile_files,
@@ -134,12 +137,29 @@ def test_typed_json(spark):
     assert found[2] == (None,) * 5
 
 
-def test_batch_limit_keeps_the_first_arrivals(spark):
+def test_stored_messages(spark):
     path = fresh_path(spark, "test-messages")
     messages(spark, [b"x"] * 40).repartition(6).write.parquet(path)
-    assert read_messages(spark, path).count() == 40
-    kept = read_messages(spark, path, batch_limit=7)
-    assert sorted(r.batch_id for r in kept.collect()) == list(range(7))
+    assert sorted(r.batch_id for r in read_messages(spark, path).collect()) == list(range(40))
+
+
+def test_empty_tags_are_bad_payloads(spark):
+    image = random_images(1, 1, 6, 5)[0]
+    bad = [tiff(image, **{f"c{tag}": (3, 0, 1)}) for tag in (256, 257, 258, 259, 262, 273, 277, 278, 279)]
+    decoded = decoded_messages(messages(spark, [tiff(image), None, *bad])).collect()
+    reasons = {r.batch_id: r.reject_reason for r in decoded}
+    assert reasons == {0: None, 1: "no_payload", **{i + 2: "bad_payload" for i in range(len(bad))}}
+    assert all((r.temps is None) == (r.batch_id > 0) for r in decoded)
+
+
+def test_sparse_images_are_packed_in_chunks():
+    lists = pa.record_batch(
+        {"n": pa.array([0, 1, 2]), "pos": pa.array([[3], [], [0, 1]], pa.list_(pa.int32())), "temp": pa.array([[7], [], [8, 9]], pa.list_(pa.int32()))}
+    )
+    out = list(pack_images(iter([lists]), 4, chunk_bytes=16))
+    assert [b.num_rows for b in out] == [2, 1]
+    images = [np.frombuffer(t.as_py(), "<u2").tolist() for b in out for t in b.column("temps")]
+    assert images == [[0, 0, 0, 7], [0, 0, 0, 0], [8, 9, 0, 0]]
 
 
 def test_tile_files(spark, tmp_path):
