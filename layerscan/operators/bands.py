@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerscan.functions.packed import SAMPLE
-from layerscan.operators.layers import layer_window
+from layerscan.operators.layers import layer_chunks, layer_window
 from layerscan.operators.stencil import with_means
 from layerscan.params import Params
 from layerscan.schema import FRAME
@@ -87,6 +87,31 @@ def scan_bands(windows: DataFrame, params: Params = Params()) -> DataFrame:
     return ordered.mapInArrow(lambda batches: _scan_batches(batches, params), schema)
 
 
+def scan_layers(frames: DataFrame, params: Params = Params()) -> DataFrame:
+    """``scan_bands`` for stored frames: each band is read and summed once.
+
+    The bands of a key come in order of their layers, so a task keeps the sums
+    of the few layers before the newest one and adds them up. Chunks of layers
+    bound a group; a chunk repeats the layers that its first ones look back at.
+    """
+    group = [*params.key_cols, "band", "chunk"]
+    own = F.col("chunk") == F.floor((F.col("seq") - 1) / params.chunk_layers)
+    chunked = (
+        split_bands(frames, params)
+        .withColumn("chunk", F.explode(layer_chunks(params)))
+        .repartition(*group)
+        .sortWithinPartitions(*group, "seq")
+        .select(
+            *FRAME, "band", own.alias("own"), F.xxhash64(*group).alias("group"), "height", "width", "top", "rows"
+        )
+    )
+    schema = T.StructType(
+        [chunked.schema[c] for c in (*FRAME, "band")]
+        + [T.StructField("saturated", T.IntegerType()), T.StructField("flagged", SCANNED)]
+    )
+    return chunked.mapInArrow(lambda batches: _scan_layer_batches(batches, params), schema)
+
+
 def frame_counts(scanned: DataFrame) -> DataFrame:
     """Saturated pixels of each frame, over its bands."""
     return scanned.groupBy(*FRAME).agg(F.sum("saturated").cast("int").alias("saturated"))
@@ -100,7 +125,7 @@ def flagged_pixels(scanned: DataFrame, params: Params = Params()) -> DataFrame:
 
 def outliers(frames: DataFrame, params: Params = Params()) -> DataFrame:
     """Flagged pixels of packed frames that carry ``seq``."""
-    return flagged_pixels(scan_bands(band_windows(frames, params), params), params)
+    return flagged_pixels(scan_layers(frames, params), params)
 
 
 def _scan_batches(
@@ -141,6 +166,89 @@ def _scan_batches(
         )
 
 
+def _scan_layer_batches(
+    batches: Iterator[pa.RecordBatch], params: Params
+) -> Iterator[pa.RecordBatch]:
+    """Sum each band once and combine it with the sums of the layers before it."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    for batch in batches:
+        bands = batch.select(range(len(FRAME) - 1, batch.num_columns)).to_pylist()
+        kept, saturated, flagged = [], [], [np.empty((4, 0), np.int64)]
+        for i, band in enumerate(bands):
+            canvas = np.zeros((params.band_rows + 2 * params.reach, band["width"] + 3 * params.reach), np.int32)
+            if band["rows"]:
+                _place(canvas, band, band["band"] * params.band_rows - params.reach, params.reach)
+            # A layer may be narrower than the newest one, whose pixels still see it.
+            sums = _diamonds(canvas, params)
+            held = [h for h in held if h[0] == band["group"] and h[1] >= band["seq"] - params.history]
+            held.append((band["group"], band["seq"], sums))
+            first = band["band"] * params.band_rows
+            if band["own"] and first < band["height"]:
+                hit, count = _flagged_of(canvas, band, held, params)
+                kept.append(i)
+                saturated.append(count)
+                flagged.append(hit)
+        if not kept:
+            continue
+        offsets = np.cumsum([f.shape[1] for f in flagged])
+        columns = np.concatenate(flagged, axis=1).astype(np.int32)
+        cells = pa.StructArray.from_arrays(
+            [pa.array(c) for c in columns], names=SCANNED.elementType.names
+        )
+        names = [*FRAME, "band"]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.select(names).take(pa.array(kept)).columns,
+                pa.array(saturated, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells),
+            ],
+            names=[*names, "saturated", "flagged"],
+        )
+
+
+def _diamonds(canvas: np.ndarray, params: Params) -> np.ndarray:
+    """Sums over diamonds of each radius, for the rows of the band and columns
+    up to ``reach`` beyond the image."""
+    reach, width = params.reach, canvas.shape[1] - 2 * params.reach
+    before = np.pad(np.cumsum(canvas, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+    runs = [
+        before[:, reach + k + 1 : reach + k + 1 + width] - before[:, reach - k : reach - k + width]
+        for k in range(reach + 1)
+    ]
+    out = np.zeros((reach + 1, params.band_rows, width), np.int32)
+    for radius in range(reach + 1):
+        for dy in range(-radius, radius + 1):
+            out[radius] += runs[radius - abs(dy)][reach + dy : reach + dy + params.band_rows]
+    return out
+
+
+def _flagged_of(
+    canvas: np.ndarray, band: dict, held: list[tuple[int, int, np.ndarray]], params: Params
+) -> tuple[np.ndarray, int]:
+    """Flagged pixels (4 x n) of the newest layer, and its saturated pixels."""
+    first, width, reach = band["band"] * params.band_rows, band["width"], params.reach
+    height = min(params.band_rows, band["height"] - first)
+    own = canvas[reach : reach + height, reach : reach + width]
+    count = int((own > params.saturation_thresh).sum())
+    if band["seq"] < params.window_size:
+        return np.empty((4, 0), np.int64), count
+    close, outer = np.zeros((height, width), np.int32), np.zeros((height, width), np.int32)
+    by_seq = {seq: sums for _, seq, sums in held}
+    for back, close_radius, outer_radius in params.stencil_radii():
+        sums = by_seq.get(band["seq"] - back)
+        if sums is None:
+            continue
+        w = min(width, sums.shape[2])
+        outer[:, :w] += sums[outer_radius, :height, :w]
+        if close_radius >= 0:
+            close[:, :w] += sums[close_radius, :height, :w]
+            outer[:, :w] -= sums[close_radius, :height, :w]
+    hit = np.abs(close / params.close_cells - outer / params.outer_cells) > params.outlier_thresh
+    hit &= (own > params.empty_thresh) & (own < params.saturation_thresh)
+    y, x = np.nonzero(hit)
+    return np.stack((x, y + first, close[y, x], outer[y, x])), count
+
+
 def _scan_pile(
     shape: tuple[int, int],
     pile: list[int],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.operators.bands import band_windows, flagged_pixels, frame_counts, scan_bands
+from layerscan.operators.bands import frame_counts, scan_layers
 from layerscan.operators.clusters import cluster_centroids, largest_clusters, swap_axes
 from layerscan.operators.dbscan import dbscan
 from layerscan.operators.layers import arrival_seq
@@ -37,7 +37,7 @@ def analyze_counted(
     """
     marked = marked_frames(tiles)
     frames = arrival_seq(split_valid(marked)[0], params)
-    scanned = scan_bands(band_windows(frames, params), params)
+    scanned = scan_layers(frames, params)
     rejects = marked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("records"))
     return results_of(materialize(scanned, "scanned"), params), rejects
 

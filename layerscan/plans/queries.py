@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.operators.bands import band_windows, frame_counts, outliers, scan_bands
+from layerscan.operators.bands import frame_counts, outliers, scan_layers
 from layerscan.operators.clusters import cluster_centroids, largest_clusters, swap_axes
 from layerscan.operators.dbscan import dbscan
 from layerscan.operators.layers import arrival_seq, has_full_window, layer_window
@@ -253,7 +253,7 @@ def outliers_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saturated pixels counted in the same pass that finds outliers."""
-    return frame_counts(scan_bands(band_windows(_frames(spark, sf_dir))))
+    return frame_counts(scan_layers(_frames(spark, sf_dir)))
 
 
 # Clustering.

@@ -2,10 +2,12 @@ import numpy as np
 from brute import collected, frames_df, random_images, results
 from test_messages import tiff
 
+from layerscan.operators.bands import band_windows, scan_bands, scan_layers
+from layerscan.operators.layers import arrival_seq
 from layerscan.operators.layout import place_by_tile, with_halo
 from layerscan.operators.pixels import pixel_rows
 from layerscan.params import Params
-from layerscan.plans.analyze import analyze, write_results
+from layerscan.plans.analyze import analyze, analyze_counted, write_results
 from layerscan.schema import MESSAGES, RESULTS
 from layerscan.session import fresh_path
 from layerscan.sources.messages import encode_frames, stream_messages
@@ -55,6 +57,29 @@ def test_default_radius(spark):
     assert collected(analyze(frames_df(spark, frames))) == results(frames)
 
 
+def test_other_window_sizes(spark):
+    frames = two_tiles(6)
+    df = frames_df(spark, frames).repartition(3)
+    for size in (1, 2, 4):
+        params = Params(dbscan_eps=3.0, window_size=size, chunk_layers=2, band_rows=9)
+        assert collected(analyze(df, params)) == results(frames, params)
+
+
+def test_records_without_a_print(spark):
+    frames = [(None, *f[1:]) for f in two_tiles(5)]
+    found, rejects = analyze_counted(messages_df(spark, frames), FINE)
+    assert collected(found) == results(frames, FINE)
+    assert [tuple(r) for r in rejects.collect()] == [(None, 10)]
+
+
+def test_both_scans_agree(spark):
+    df = frames_df(spark, [(*f[:4], f[4][: 9 + f[3] % 7, : 12 + f[3] % 5]) for f in two_tiles()])
+    frames = arrival_seq(df, FINE)
+    params = Params(dbscan_eps=3.0, band_rows=6, chunk_layers=2)
+    once, windows = scan_layers(frames, params), scan_bands(band_windows(frames, params), params)
+    assert once.exceptAll(windows).count() == windows.exceptAll(once).count() == 0
+
+
 def test_two_prints_on_a_tile(spark):
     frames = two_tiles(4, ("a", "b"))
     apart = collected(analyze(frames_df(spark, frames), FINE))
