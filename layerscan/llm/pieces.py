@@ -30,7 +30,7 @@ from layerscan.session import materialize
 
 CHUNK = 32_768
 #: Stretches between spaces whose pieces a Python worker remembers at once.
-MEMORY = 250_000
+MEMORY = 150_000
 OUT_BYTES = 8 << 20
 NO = -np.inf
 
@@ -45,8 +45,11 @@ class Encoder:
             raise ValueError("pieces must not run across spaces or lines")
         self.bytes, self.unknown = vocabulary["bytes"], vocabulary["unknown"]
         self.stretch = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.score = {p: s for p, (_, s) in self.pieces.items()}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.n_follows = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.text_of = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.tree: dict = {}
@@ -56,28 +59,34 @@ class Encoder:
                 node = node.setdefault(c, {})
             node[""] = True
         self.plain = {i: p.replace(SPACE_MARK, " ") for i, p in self.text_of.items()}
+        self.plain |= {i: chr(b) for i, b in self.byte_of.items() if b < 128}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: always the best pair, the first of equals."""
-        parts = list(text)
-        while True:
-            best, at = NO, -1
-            for i in range(len(parts) - 1):
-                piece = self.pieces.get(parts[i] + parts[i + 1])
-                if piece is not None and piece[1] > best:
-                    best, at = piece[1], i
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        values = [score(x + y, NO) for x, y in zip(parts, parts[1:])]
+        while values and (best := max(values)) > NO:
+            at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = score(parts[at - 1] + parts[at], NO)
+            if at < len(values):
+                values[at] = score(parts[at] + parts[at + 1], NO)
+        return parts
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether merging leaves the two pieces as they are."""
-        found = self.follows.get((left, right))
+        after = self.follows.get(left)
+        if after is None:
+            after = self.follows[left] = {}
+        found = after.get(right)
         if found is None:
-            if len(self.follows) >= 4 * MEMORY:
-                self.follows.clear()
-            found = self.merged(left + right) == [left, right]
-            self.follows[left, right] = found
+            if self.n_follows >= 3 * MEMORY:
+                self.follows, self.n_follows = {left: after}, 0
+                after.clear()
+            found = after[right] = self.merged(left + right) == [left, right]
+            self.n_follows += 1
         return found
 
     def path(self, text: str, begin: int, before: str | None, stop: int, end: int) -> list[int]:
@@ -104,13 +113,13 @@ class Encoder:
 
     def _lengths(self, text: str, at: int) -> list[int]:
         """Lengths of the pieces that start at a place, and 1, in ascending order."""
-        node, out = self.tree.get(text[at]), [1]
-        for i in range(at + 1, len(text)):
-            if node is None:
-                break
+        node, out, i = self.tree.get(text[at]), [1], at + 1
+        size = len(text)
+        while node and i < size:
             node = node.get(text[i])
-            if node is not None and "" in node:
-                out.append(i + 1 - at)
+            i += 1
+            if node and "" in node:
+                out.append(i - at)
         return out
 
     def search(self, text: str) -> list[str]:
@@ -118,17 +127,28 @@ class Encoder:
 
         A prefix has one path, so a place that once led nowhere never does.
         """
-        at, out, dead = 0, [], set()
-        options = [self._lengths(text, 0)]
-        while at < len(text):
+        at, out, dead, size = 0, [], set(), len(text)
+        options, follows = [self._lengths(text, 0)], self.follows
+        while at < size:
             left = options[-1]
             while left:
                 end = at + left.pop()
-                if end not in dead and (not out or self.may_follow(out[-1], text[at:end])):
-                    out.append(text[at:end])
-                    at = end
-                    options.append(self._lengths(text, at) if at < len(text) else [])
-                    break
+                if end in dead:
+                    continue
+                piece = text[at:end]
+                if out:
+                    after = follows.get(out[-1])
+                    may = after.get(piece) if after else None
+                    if may is None:
+                        may = self.may_follow(out[-1], piece)
+                        follows = self.follows
+                    if not may:
+                        continue
+                out.append(piece)
+                at = end
+                if at < size:
+                    options.append(self._lengths(text, at))
+                break
             else:
                 dead.add(at)
                 options.pop()
@@ -159,18 +179,23 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text that begins with the space mark."""
-        known, out = self.known, []
-        for stretch in self.stretch.findall(text):
-            packed = known.get(stretch)
-            if packed is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                packed = self.ids(self.search(stretch))
-                if len(stretch) < 64:
-                    known[stretch] = packed
-            out.append(packed)
+        stretches = self.stretch.findall(text)
+        out = list(map(self.known.get, stretches))
+        if None in out:
+            for i, packed in enumerate(out):
+                if packed is None:
+                    out[i] = self._pieces_of(stretches[i])
         return b"".join(out)
 
+    def _pieces_of(self, stretch: str) -> bytes:
+        """Packed ids of a stretch, remembered for two turns of MEMORY stretches."""
+        packed = self.known.get(stretch) or self.older.get(stretch) or self.ids(self.search(stretch))
+        if len(stretch) < 64:
+            if len(self.known) >= MEMORY:
+                self.known, self.older = {}, self.known
+            self.known[stretch] = packed
+        return packed
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no character become replacement characters."""
         plain = self.plain
