@@ -118,34 +118,36 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(rows: list, rounds: int = 300) -> tuple[np.ndarray, float, float] | None:
-    """Weights by slot, and slope and offset of the calibration; None without both classes."""
-    labels = np.array([r[0] for r in rows], np.float64)
-    if len(rows) < 8 or labels.min() == labels.max():
+def train(labels: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarray], rounds: int = 250):
+    """Weights by slot, and slope and offset of the calibration; None without both classes.
+
+    Rows are gone through in blocks, so only the features themselves are held.
+    """
+    if len(labels) < 8 or labels.min() == labels.max():
         return None
-    slots = [np.frombuffer(r[1], np.int32) for r in rows]
-    shares = [np.frombuffer(r[2], np.float32) for r in rows]
-    fold = np.arange(len(rows)) % 4 == 3
+    fold = np.arange(len(labels)) % 4 == 3
     if len(set(labels[fold])) < 2 or len(set(labels[~fold])) < 2:
         fold[:] = False
     use = np.flatnonzero(~fold)
-    at = np.concatenate([slots[i] for i in use])
     # Roots of shares keep rare grams from drowning among common ones.
     scale = np.zeros(KINDS << BITS)
-    np.add.at(scale, at, np.concatenate([shares[i] for i in use]))
+    for i in use:
+        scale[slots[i]] += shares[i]
     scale = 1 / np.sqrt(scale / len(use) + 1e-4)
-    value = np.concatenate([shares[i] for i in use]) * scale[at]
-    size = np.array([len(slots[i]) for i in use])
-    row = np.repeat(np.arange(len(use)), size)
     y = labels[use]
-    cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(use)
     weights, offset, speed = np.zeros(KINDS << BITS), 0.0, np.full(KINDS << BITS, 1e-8)
     for _ in range(rounds):
-        error = cost * (_sigmoid(np.bincount(row, weights[at] * value, len(use)) + offset) - y) / len(use)
-        slope = np.bincount(at, error[row] * value, KINDS << BITS) + 1e-6 * weights
+        slope, shift = 1e-6 * weights, 0.0
+        for k, i in enumerate(use):
+            at = slots[i]
+            value = shares[i] * scale[at]
+            error = cost[k] * (_sigmoid(weights[at] @ value + offset) - y[k])
+            slope[at] += error * value
+            shift += error
         speed += slope**2
         weights -= 0.1 * slope / np.sqrt(speed)
-        offset -= 0.5 * error.sum()
+        offset -= 0.5 * shift
     weights = weights * scale
     held = np.flatnonzero(fold) if fold.any() else use
     raw = np.array([weights[slots[i]] @ shares[i] for i in held]) + offset
@@ -169,8 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     )
-    rows = texts.select("doc_id", "text", "label").mapInArrow(_with_id, "doc_id long, label double, slots binary, shares binary").collect()
-    return train([(r.label, r.slots, r.shares) for r in sorted(rows, key=lambda r: r.doc_id)])
+    rows = texts.select("doc_id", "text", "label").mapInArrow(_with_id, "doc_id long, label double, slots binary, shares binary")
+    table = rows.toArrow().sort_by("doc_id")
+    packed = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[c]]
+    return train(table["label"].to_numpy(), packed("slots", np.int32), packed("shares", np.float32))
 
 
 def _with_id(batches):
