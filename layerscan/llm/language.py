@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerscan.llm.words import process_cache
+
 #: Bound on the training documents: those whose id hashes are least.
 SAMPLE = 4096
 GRAMS = (5, 4, 3, 2, 1)
@@ -36,30 +38,35 @@ def word_grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
-class Model(dict):
-    """Log frequencies of words and n-grams in each language; remembers words."""
+def tables(counts: dict[str, Counter]) -> dict:
+    """Languages, and log frequencies in each of words and n-grams seen twice or more."""
+    languages = sorted(counts)
 
-    def __init__(self, counts: dict[str, Counter]):
-        super().__init__()
-        self.languages = sorted(counts)
-        self.words = self._table(counts, lambda w: [w], 2)
-        self.grams = [self._table(counts, lambda w, n=n: word_grams(w, n), 2) for n in GRAMS]
-        self.rows: list[np.ndarray] = []
-
-    def _table(self, counts, parts, least: int) -> dict[str, np.ndarray]:
-        """Log frequencies of parts seen ``least`` times or more."""
-        seen: dict[str, list] = defaultdict(lambda: [0] * len(self.languages))
-        for i, language in enumerate(self.languages):
+    def table(parts) -> dict[str, np.ndarray]:
+        seen: dict[str, list] = {}
+        for i, language in enumerate(languages):
             for word, n in counts[language].items():
                 for part in parts(word):
-                    seen[part][i] += n
-        total = [sum(v[i] for v in seen.values()) + FLOOR * (len(seen) + 1) for i in range(len(self.languages))]
+                    seen.setdefault(part, [0] * len(languages))[i] += n
+        total = [sum(v[i] for v in seen.values()) + FLOOR * (len(seen) + 1) for i in range(len(languages))]
         return {
             part: np.array([math.log((n + FLOOR) / t) for n, t in zip(values, total)], np.float32)
             for part, values in seen.items()
-            if sum(values) >= least
+            if sum(values) >= 2
         }
 
+    grams = [table(lambda w, n=n: word_grams(w, n)) for n in GRAMS]
+    return {"languages": languages, "words": table(lambda w: [w]), "grams": grams}
+
+
+class Model(dict):
+    """Scores of words by learned ``tables``; remembers words."""
+
+    def __init__(self, learned: dict):
+        super().__init__()
+        self.languages, self.words, self.grams = learned["languages"], learned["words"], learned["grams"]
+        self.rows: list[np.ndarray] = []
+
     def score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
@@ -85,8 +92,18 @@ class Model(dict):
         self.rows.clear()
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` documents with a language that are not held out."""
+def _model(learned: dict | None) -> Model | None:
+    """The worker's model of broadcast tables."""
+    if learned is None:
+        return None
+    cache = process_cache()
+    if cache.get("language", (None,))[0] is not learned:
+        cache["language"] = (learned, Model(learned))
+    return cache["language"][1]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """Tables of at most ``sample`` documents with a language that are not held out."""
     usable = docs.where(~_held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = (
@@ -108,23 +125,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, word, n in counted.collect():
         counts[lang][word] = n
-    return Model(counts) if counts else None
+    return tables(counts) if counts else None
 
 
 def _held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, learned: dict | None) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of each row.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned. Equal sums go to the first language in order of name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
-        model = shared.value
+        model = _model(shared.value)
         for batch in batches:
             names, shares = [], []
             for text in batch.column("text"):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm.vocabulary import PIECE_MODEL, SPACE_MARK, read_pieces
+from layerscan.llm.words import process_cache
 from layerscan.session import materialize
 
 CHUNK = 32_768
@@ -274,14 +275,12 @@ def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left[:, :, None] + right[None, :, :]).max(axis=1)
 
 
-_WORKER: dict = {}
-
-
 def _encoder(vocabulary: dict) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
-    if _WORKER.get("of") is not vocabulary:
-        _WORKER.update(of=vocabulary, encoder=Encoder(vocabulary))
-    return _WORKER["encoder"]
+    cache = process_cache()
+    if cache.get("encoder", (None,))[0] is not vocabulary:
+        cache["encoder"] = (vocabulary, Encoder(vocabulary))
+    return cache["encoder"][1]
 
 
 def _marked(text: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm.vocabulary import PIECE_MODEL, read_wordpieces
+from layerscan.llm.words import process_cache
 
 #: Words whose counts a Python worker remembers at once.
 MEMORY = 300_000
@@ -88,14 +89,12 @@ class _Counts(dict):
         return found
 
 
-_WORKER: dict = {}
-
-
 def _counts(vocabulary) -> _Counts:
     """The worker's counts for a broadcast vocabulary."""
-    if _WORKER.get("of") is not vocabulary:
-        _WORKER.update(of=vocabulary, counts=_Counts(Automaton(*vocabulary)))
-    return _WORKER["counts"]
+    cache = process_cache()
+    if cache.get("counts", (None,))[0] is not vocabulary:
+        cache["counts"] = (vocabulary, _Counts(Automaton(*vocabulary)))
+    return cache["counts"][1]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = PIECE_MODEL) -> DataFrame:

@@ -6,6 +6,8 @@ Hashes are polynomials modulo 2^64, taken from prefix sums and then mixed.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +28,10 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def process_cache() -> dict:
+    """What a Python process keeps. Functions travel by value, so the globals of
+    their modules would travel along, and would not outlive a task."""
+    return vars(sys).setdefault("_layerscan_llm", {})
 
 
 def _make_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,9 +43,10 @@ def _make_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``size`` powers of ``base`` and of its inverse modulo 2^64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < size:
-        _POWERS[base] = _make_powers(base, 1 << max(16, int(size - 1).bit_length()))
-    return _POWERS[base]
+    cache = process_cache()
+    if base not in cache or len(cache[base][0]) < size:
+        cache[base] = _make_powers(base, 1 << max(16, int(size - 1).bit_length()))
+    return cache[base]
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

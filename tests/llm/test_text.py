@@ -167,7 +167,7 @@ def test_language_odd_rows(odd, none):
 
 
 def test_backoff_to_shorter_grams():
-    model = language.Model({"xx": Counter({"walking": 5, "talking": 5}), "yy": Counter({"gehen": 5, "sehen": 5})})
+    model = language.Model(language.tables({"xx": Counter({"walking": 5, "talking": 5}), "yy": Counter({"gehen": 5, "sehen": 5})}))
     for word in ("stalking", "kin"):
         assert model.languages[int(model.score(word).argmax())] == "xx"
     assert model.languages[int(model.score("wehen").argmax())] == "yy"
