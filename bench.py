@@ -1,8 +1,9 @@
 """Times the headline queries; prints one JSON line.
 
 Settings by environment: BENCH_SF_DIR, BENCH_CPUS, and BENCH_RUNS (the best of
-so many runs counts). ``frames_500px`` runs on generated images of realistic
-size, four layers of sixteen tiles, written out before the clock starts.
+so many runs counts). ``frames_500px`` and ``messages_500px`` run on generated
+images of realistic size, written out before the clock starts, at two sizes ten
+apart; ``growth`` has their seconds per million pixels.
 """
 
 import json
@@ -13,6 +14,7 @@ from pathlib import Path
 from layerscan.plans.analyze import analyze
 from layerscan.plans.queries import QUERIES
 from layerscan.session import local_session, materialize
+from layerscan.sources.messages import encode_frames
 from layerscan.sources.rasters import generated_frames
 
 HEADLINE = [
@@ -43,8 +45,13 @@ def main() -> None:
     timed = {
         name: (lambda query=QUERIES[name]: query(spark, sf_dir)) for name in HEADLINE
     }
-    frames = materialize(generated_frames(spark, 4, 16, 500, 500), "bench-frames")
-    timed["frames_500px"] = lambda: analyze(frames)
+    pixels = {}
+    for suffix, tiles in (("_small", 4), ("", 40)):
+        frames = materialize(generated_frames(spark, 4, tiles, 500, 500), "bench-frames")
+        messages = materialize(encode_frames(frames), "bench-messages")
+        for name, table in (("frames_500px", frames), ("messages_500px", messages)):
+            timed[name + suffix] = lambda table=table: analyze(table)
+            pixels[name + suffix] = 4 * tiles * 500 * 500
 
     queries = {}
     for name, run in timed.items():
@@ -58,6 +65,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": queries,
+                "growth": {k: round(queries[k] / n * 1e6, 3) for k, n in pixels.items()},
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )
