@@ -46,7 +46,7 @@ def main() -> None:
         name: (lambda query=QUERIES[name]: query(spark, sf_dir)) for name in HEADLINE
     }
     pixels = {}
-    for suffix, tiles in (("_small", 4), ("", 40)):
+    for suffix, tiles in (("_small", 2), ("", 20)):
         frames = materialize(generated_frames(spark, 4, tiles, 500, 500), "bench-frames")
         messages = materialize(encode_frames(frames), "bench-messages")
         for name, table in (("frames_500px", frames), ("messages_500px", messages)):
