@@ -31,7 +31,7 @@ from layerscan.session import materialize
 
 CHUNK = 32_768
 #: Stretches between spaces whose pieces a Python worker remembers at once.
-MEMORY = 150_000
+MEMORY = 350_000
 OUT_BYTES = 8 << 20
 NO = -np.inf
 
