@@ -7,6 +7,11 @@ with other numbers and names is still found. Slot values must correspond one to
 one: both windows must repeat values at the same places. An item of fewer words
 is one window of its own length.
 
+Windows that are mostly slots say too little as templates, and case decides what
+is a name. So the case-folded words of every window are a key of their own, and
+a copy is found whatever its case and however many of its words are slots. Each
+Chinese or Japanese character is a word.
+
 The benchmark's windows are broadcast in slices of at most ``SLICE_KEYS`` keys,
 each in a pass of its own over the same rows, whatever the benchmark's size.
 """
@@ -22,7 +27,7 @@ from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, win
 from layerscan.session import materialize
 
 SIZE = 13
-#: Items of fewer words than this say too little and match nothing.
+#: Items of fewer words than this say too little and match nothing; README names them.
 LEAST = 5
 #: Bound on the window keys of one broadcast.
 SLICE_KEYS = 1_000_000
@@ -41,6 +46,15 @@ UNITS = (
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 22, 33))
+#: Sets keys of folded words apart from those of templates.
+FOLDED = np.uint64(1 << 32)
+
+
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Sizes of the Chinese and Japanese characters that begin at each byte, else 0."""
+    after = np.r_[data[1:], np.zeros(min(1, len(data)), np.uint8)]
+    wide = (data == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+    return np.where((data >= 0xE3) & (data <= 0xE9), 3, np.where(wide, 4, 0))
 
 
 class _Trimmed(Words):
@@ -48,6 +62,9 @@ class _Trimmed(Words):
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         super().__init__(data, bounds)
+        sizes = _characters(data)
+        if sizes.any():
+            self._split(sizes)
         at = np.arange(len(data), dtype=np.int64)
         ahead = np.minimum.accumulate(np.where(_LETTER[data], at, len(data))[::-1])[::-1]
         behind = np.maximum.accumulate(np.where(_LETTER[data], at, -1))
@@ -57,6 +74,21 @@ class _Trimmed(Words):
             self.starts, self.ends = starts[use], ends[use]
             self.first = np.searchsorted(self.starts, bounds)
 
+    def _split(self, sizes: np.ndarray) -> None:
+        """Makes each character that ``sizes`` names a word."""
+        alone = np.flatnonzero(sizes)
+        inside = np.zeros(len(sizes) + 1, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        alone = alone[np.cumsum(inside[:-1])[alone] > 0]
+        stops = alone + sizes[alone]
+        starts = np.unique(np.concatenate([self.starts, alone, stops]))
+        # A word ends where its next part begins; what begins at its end is none.
+        word = np.searchsorted(self.starts, starts, "right") - 1
+        use = starts < self.ends[word]
+        starts, word = starts[use], word[use]
+        self.starts, self.ends = starts, np.minimum(self.ends[word], np.r_[starts[1:], len(sizes)])
+
 
 def _hash_of(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b" ".join(words), np.uint8)
@@ -66,8 +98,21 @@ def _hash_of(words: list[bytes]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_of(list(UNITS)))
 
 
+def folded_values(data: np.ndarray, bounds: np.ndarray, words: Words, values: np.ndarray) -> np.ndarray:
+    """Hashes of the words without case, beyond ASCII too: folding moves no word's edge."""
+    if not (data > 127).any():
+        return values
+    texts = [
+        data[a:b].tobytes().decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+        for a, b in zip(bounds[:-1], bounds[1:])
+    ]
+    folded = _Trimmed(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
+    assert len(folded) == len(words)
+    return folded.hashes()
+
+
 def templates(data: np.ndarray, bounds: np.ndarray):
-    """Trimmed words of texts, their template codes, their values, and which are slots."""
+    """Trimmed words of texts, their template codes, values, which are slots, and values without case."""
     low = lower_ascii(data)
     words = _Trimmed(low, bounds)
     values = words.hashes()
@@ -78,7 +123,7 @@ def templates(data: np.ndarray, bounds: np.ndarray):
     name = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     unit = np.isin(values, _UNIT_HASHES) & ~name
     codes = np.select([number, name, unit], [NUMBER, NAME, UNIT], values)
-    return words, codes, values, number | name | unit
+    return words, codes, values, number | name | unit, folded_values(data, bounds, words, values)
 
 
 def patterns(codes: np.ndarray, values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -92,13 +137,17 @@ def patterns(codes: np.ndarray, values: np.ndarray, slot: np.ndarray, at: np.nda
     return out
 
 
-def template_windows(parts, size: int):
-    """First word and key of the windows of which at least half are plain words."""
-    words, codes, _, slot = parts
-    at, keys = window_hashes(codes, words.first, size)
+def windows_of(parts, size: int):
+    """First word, key and pattern of the folded windows, and of the windows of which at
+    least half are plain words. A template without slots is left to the folded ones."""
+    words, codes, values, slot, folded = parts
+    at, keys = window_hashes(folded, words.first, size)
+    yield at, mix(keys + np.uint64(size) + FOLDED), lambda at: np.zeros(len(at), np.uint64)
     slots = np.r_[0, np.cumsum(slot)]
-    use = 2 * (slots[at + size] - slots[at]) <= size
-    return at[use], mix(keys[use] + np.uint64(size))
+    at, keys = window_hashes(codes, words.first, size)
+    count = slots[at + size] - slots[at]
+    use = (count > 0) & (2 * count <= size)
+    yield at[use], mix(keys[use] + np.uint64(size)), lambda at: patterns(codes, values, slot, at, size)
 
 
 def _items(batches):
@@ -106,14 +155,14 @@ def _items(batches):
         data, bounds = text_bytes(batch.column("text"))
         ids = batch.column("item_id").to_numpy(zero_copy_only=False)
         parts = templates(data, bounds)
-        words, codes, values, slot = parts
+        words = parts[0]
         counts = words.counts
-        for size in {SIZE, *counts[(counts >= LEAST) & (counts < SIZE)].tolist()}:
-            at, keys = template_windows(parts, size)
+        sizes = {SIZE, *counts[(counts >= LEAST) & (counts < SIZE)].tolist()}
+        for size, (at, keys, shape_of) in ((size, w) for size in sizes for w in windows_of(parts, size)):
             text = words.text_of()[at]
             whole = (counts[text] == size) | (size == SIZE)
             at, keys, text = at[whole], keys[whole], text[whole]
-            shape = patterns(codes, values, slot, at, size)
+            shape = shape_of(at)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(shape.view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array(ids[text], pa.int64())],
                 names=["key", "pattern", "size", "item_id"],
@@ -141,16 +190,15 @@ def _slices(benchmark: DataFrame) -> list[dict]:
 
 def _matches(known: dict, parts) -> list[tuple[np.ndarray, np.ndarray]]:
     """Texts and items that share a window with equal patterns."""
-    words, codes, values, slot = parts
-    found = []
-    for size in np.unique(known["size"]):
-        at, keys = template_windows(parts, int(size))
+    words, found = parts[0], []
+    sizes = np.unique(known["size"]).tolist()
+    for at, keys, shape_of in (w for size in sizes for w in windows_of(parts, size)):
         low = np.searchsorted(known["key"], keys)
         hit = np.flatnonzero(known["key"][np.minimum(low, len(known["key"]) - 1)] == keys)
         if not len(hit):
             continue
         at, keys, low = at[hit], keys[hit], low[hit]
-        shape = patterns(codes, values, slot, at, int(size))
+        shape = shape_of(at)
         # One key may stand with several patterns, next to each other.
         while len(at):
             ok = known["pattern"][low] == shape

@@ -192,6 +192,24 @@ def test_templates_and_slots(spark):
     assert got[2] == got[3] == got[4] == got[5] == got[6] == []
 
 
+def test_copies_of_any_case_and_of_many_slots(spark):
+    dense = "Paris 1889 London 1851 Vienna 1873 Chicago 1893 Brussels 1910 Osaka 1970 Seville 1992 Hanover 2000 Milan 2015"
+    items = [(1, ITEM), (2, dense), (3, "Die größte Straße in Köln Über Élan"), (4, "日本の首都はどこですか答えよ"), (5, "東京は")]
+    texts = [
+        ITEM.title(), ITEM.upper(), f"so {ITEM.lower()} it", dense, f"then {dense.lower()}.", dense.replace("1889", "1900").replace("1851", "1901"),
+        "die grösste", "DIE GRÖSSTE STRASSE IN KÖLN ÜBER ÉLAN", "問題:日本の首都はどこですか答えよ。正解は東京", "日本の首都 x はどこですか答えよ", "東京は",
+    ]
+    got = leaks(spark, texts, items)
+    assert [got[i] for i in range(len(texts))] == [[1], [1], [1], [2], [2], [2], [], [3], [4], [], []]
+
+
+def test_words_without_spaces():
+    text = "a日b本, 語:。x 𠀀 ，y".encode()
+    words = benchmarks._Trimmed(np.frombuffer(text + text, np.uint8), np.array([0, len(text), 2 * len(text)]))
+    found = [(text + text)[a:b].decode() for a, b in zip(words.starts, words.ends)]
+    assert found == [*"a日b本語。x𠀀", "，y"] * 2 and words.first.tolist() == [0, 9, 18]
+
+
 def test_short_items_and_ties(spark):
     items = [(1, "only six words stand in here"), (2, "too short"), (3, ITEM), (4, ITEM), (None, ITEM), (5, None)]
     got = leaks(spark, ["only six words stand in here today", "too short", ITEM], items)
