@@ -66,8 +66,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     told = materialize(
         pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag")), "tags"
     )
-    canonical = F.col("tag").rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
-    refresh = F.col("tag").rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
+    canonical = F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
+    refresh = F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
     link = F.when(canonical, F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).when(
         refresh, F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     )
