@@ -10,6 +10,11 @@ and the shard's array is induced from them bucket by bucket), and compares each
 suffix with the one before it, in the order of the text. Suffixes that share
 ``size`` bytes stand together; all but the earliest are repeats.
 
+A hash that more than ``HOT`` of the chunks hold would bring a stretch of every
+such document into one shard. Its windows are dealt by a hash of all their own
+bytes instead: a chunk sends one entry of each window, with its least place, and
+gets the least place of all back where the window occurs twice.
+
 Nulls: a null text has no bytes; rows without an id come after all others. Rows
 of one id count as one document, in which equal positions do not precede each
 other. A stretch of one repeated byte costs a step per byte.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,10 @@ from layerscan.llm.words import BASE, WORD_BASE, ids_of, mix, powers, range_hash
 
 GRAM = 32
 MANY = np.uint32(1)
+#: Share of the chunks; a hash in more of them is in more documents than there are chunks.
+HOT = 0.75
+#: Marks a hot hash in what a chunk is told.
+HOT_BIT = 1 << 62
 PIECE = 1 << 20
 #: Alphabets above this are sorted by doubling instead of bucket by bucket.
 BUCKETS = 1024
@@ -98,17 +108,22 @@ def _grams_of(n: int, size: int):
     return question
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Hashes that occur twice."""
-    entries, row = X.unpack(table["keys"], np.uint32)
-    order = np.argsort(entries >> 1, kind="stable")
-    keys = entries[order] >> 1
-    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[new, len(keys)])
-    live = (sizes > 1) | ((np.bitwise_or.reduceat(entries[order], new) & MANY) > 0)
-    found = np.sort(order[np.repeat(live, sizes)])
-    bucket = table["bucket"][0].as_py() << 31
-    return X.reply(table["chunk"].to_numpy(), row[found], bucket | (entries[found] >> 1).astype(np.int64))
+def _repeated(most: int):
+    """Hashes that occur twice, and which of them more than ``most`` chunks hold."""
+
+    def reply_to(table: pa.Table) -> pa.Table:
+        entries, row = X.unpack(table["keys"], np.uint32)
+        order = np.argsort(entries >> 1, kind="stable")
+        keys = entries[order] >> 1
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[new, len(keys)])
+        live = (sizes > 1) | ((np.bitwise_or.reduceat(entries[order], new) & MANY) > 0)
+        told = (entries >> 1).astype(np.int64) | table["bucket"][0].as_py() << 31
+        told[order[np.repeat(sizes > most, sizes)]] |= HOT_BIT
+        found = np.sort(order[np.repeat(live, sizes)])
+        return X.reply(table["chunk"].to_numpy(), row[found], told[found])
+
+    return reply_to
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -118,6 +133,60 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 STRETCH = np.dtype([("size", "<i8"), ("id", "<i8"), ("at", "<i8"), ("row", "<i8")])
+#: A window of a hot hash: two hashes of its bytes, the lowest bit of the second for MANY, and its least place.
+PLACE = np.dtype([("a", "<u8"), ("b", "<u4"), ("at", "<u4"), ("id", "<i8")])
+#: Stands before the places in a reply; what is before it has no negative numbers.
+PLACES = np.full(3, -1, np.int64).tobytes()
+FILTER = np.uint64((1 << 20) - 1)
+
+
+def _prints(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows that begin at ``at``, the second with an even value."""
+    second = range_hashes(data, at, at + size, WORD_BASE[0])
+    return range_hashes(data, at, at + size), (second >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+
+
+def _rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """The first hash of ``_prints`` from each position on."""
+    ahead, back = powers(BASE, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)], out=sums[1:])
+    n = len(data) - size + 1
+    return mix((sums[size:] - sums[:n]) * back[:n] + np.uint64(size * BASE % (1 << 64)))
+
+
+def _by_window(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of places by window, id and position, the first of each window in it, and the counts."""
+    order = np.lexsort((places["at"], places["id"], places["b"] >> 1, places["a"]))
+    a, b = places["a"][order], places["b"][order] >> 1
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)])
+    return order, new, np.diff(np.r_[new, len(order)])
+
+
+def _merged(places: np.ndarray) -> np.ndarray:
+    """The least place of each window, marked if there are others."""
+    if not len(places):
+        return places
+    order, new, counts = _by_window(places)
+    sorted_ = places[order]
+    least = sorted_[new]
+    head = np.repeat(least, counts)
+    other = (sorted_["id"] != head["id"]) | (sorted_["at"] != head["at"]) | (sorted_["b"] & MANY > 0)
+    least["b"] |= np.logical_or.reduceat(other, new).astype(np.uint32)
+    return least
+
+
+def _least_places(table: pa.Table) -> pa.Table:
+    """The least place of each window, for the chunks that hold others."""
+    places, row = X.unpack(table["keys"], PLACE)
+    order, new, counts = _by_window(places)
+    sorted_ = places[order]
+    head = np.repeat(sorted_[new], counts)
+    other = (sorted_["id"] != head["id"]) | (sorted_["at"] != head["at"]) | (sorted_["b"] & MANY > 0)
+    head["b"] &= ~MANY
+    row, head = row[order][other], head[other]
+    by = np.argsort(row, kind="stable")
+    return X.reply(table["chunk"].to_numpy(), row[by], head[by])
 
 
 def _stretches(n: int, size: int):
@@ -125,10 +194,22 @@ def _stretches(n: int, size: int):
         live = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in got.to_pylist())])
         if not len(live) or not table.num_rows:
             return
+        hot, live = live[live >= HOT_BIT] - HOT_BIT, live[live < HOT_BIT]
         data, bounds = text_bytes(table["text"])
         ids = ids_of(table["id"])
+        places = np.empty(0, PLACE)
         for first, last, keys, _ in least_grams(data, bounds, size):
-            known = np.isin(_whole(keys, n), live)
+            whole = _whole(keys, n)
+            busy = np.isin(whole, hot)
+            if busy.any():
+                at = _ragged(first[busy], last[busy] - first[busy] + 1)
+                here = np.empty(len(at), PLACE)
+                low = int(at[0])
+                here["a"], here["b"] = _prints(data[low : int(at[-1]) + size], at - low, size)
+                row = np.searchsorted(bounds, at, "right") - 1
+                here["at"], here["id"] = at - bounds[row], ids[row]
+                places = np.concatenate([places, _merged(here)])
+            known = np.isin(whole, live)
             first, last, keys = first[known], last[known], keys[known]
             if not len(first):
                 continue
@@ -151,6 +232,9 @@ def _stretches(n: int, size: int):
                 ],
                 schema=X.ASK_ARROW,
             )
+        places = _merged(places)
+        if len(places):
+            yield X.send(chunk, n, places["a"], places)
 
     return question
 
@@ -288,9 +372,21 @@ def common_with_previous(s: np.ndarray, order: np.ndarray, size: int) -> np.ndar
 
 
 def _shard(size: int):
-    """Repeats among the stretches of a shard, as ranges of first bytes."""
+    """Repeats among the stretches of a shard, as ranges of first bytes, and the least places of windows."""
 
     def reply_to(table: pa.Table) -> pa.Table:
+        alone = pc.equal(pc.binary_length(table["extra"]), 0)
+        told: dict = {}
+        # One row for each chunk, however many it sent.
+        for work, before, part in ((stretches, b"", table.filter(pc.invert(alone))), (_least_places, PLACES, table.filter(alone))):
+            if part.num_rows:
+                got, begun = work(part), set()
+                for chunk, keys in zip(got["chunk"].to_pylist(), got["keys"].to_pylist()):
+                    told.setdefault(chunk, []).append(keys if chunk in begun else before + keys)
+                    begun.add(chunk)
+        return pa.table([pa.array(list(told), pa.int64()), pa.array([b"".join(x) for x in told.values()], pa.binary())], schema=X.ANSWER_ARROW)
+
+    def stretches(table: pa.Table) -> pa.Table:
         about = [np.frombuffer(x, STRETCH) for x in table["extra"].to_pylist()]
         row = np.repeat(np.arange(len(about)), [len(x) for x in about])
         about = np.concatenate(about)
@@ -354,13 +450,41 @@ def _shard(size: int):
     return reply_to
 
 
+def _later(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
+    """First bytes of all windows that stand in ``least`` with another place."""
+    out = [np.empty(0, np.int64)]
+    least = np.sort(least, order=("a", "b"))
+    near = np.zeros(int(FILTER) + 1, bool)
+    near[least["a"] & FILTER] = True
+    for low in range(0, max(0, len(data) - size + 1) if len(least) else 0, PIECE):
+        part = data[low : min(low + PIECE, len(data) - size + 1) + size - 1]
+        a = _rolling(part, size)
+        at = np.flatnonzero(near[a & FILTER])
+        known = least[np.minimum(np.searchsorted(least["a"], a[at]), len(least) - 1)]
+        at, known = at[same := known["a"] == a[at]], known[same]
+        if not len(at):
+            continue
+        b = _prints(part, at, size)[1]
+        row = np.searchsorted(bounds, at + low, "right") - 1
+        from_ = at + low - bounds[row]
+        hit = (known["b"] == b) & (at + low + size <= bounds[row + 1]) & ((known["id"] != ids[row]) | (known["at"] != from_))
+        out.append(at[hit] + low)
+    return np.concatenate(out)
+
+
 def _cut(size: int):
     def work(table: pa.Table, got: pa.ChunkedArray) -> pa.Table:
         data, bounds = text_bytes(table["text"])
-        ranges = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in got.to_pylist())]).reshape(-1, 3)
+        told = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in got.to_pylist()]
+        ends = [int((np.r_[x[:, 0], -1] == -1).argmax()) for x in told]
+        ranges = np.concatenate([np.empty((0, 3), np.int64), *(x[:end] for x, end in zip(told, ends))])
+        least = np.concatenate([np.empty(0, PLACE), *(x[end + 1 :].reshape(-1).view(PLACE) for x, end in zip(told, ends))])
         steps = np.zeros(len(data) + 1, np.int32)
         np.add.at(steps, bounds[ranges[:, 0]] + ranges[:, 1], 1)
         np.add.at(steps, bounds[ranges[:, 0]] + ranges[:, 2] + size, -1)
+        later = _later(data, bounds, ids_of(table["id"]), least, size)
+        steps[later] += 1
+        steps[later + size] -= 1
         gone = np.cumsum(steps[:-1]) > 0
         first = gone.copy()
         first[1:] &= ~gone[:-1]
@@ -382,6 +506,12 @@ def _cut(size: int):
     return work
 
 
+def _sharded(chunks: DataFrame, n: int, size: int) -> DataFrame:
+    """What the chunks send the shards."""
+    grams = X.answer(X.ask(chunks, _grams_of(n, size)), _repeated(int(HOT * n)))
+    return X.ask_again(chunks, grams, _stretches(n, size))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 100) -> DataFrame:
     """Removes the bytes of every ``size``-byte string that also starts earlier.
 
@@ -393,8 +523,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
     n = X.sides(docs, text, 2000)
     chunks = X.chunked(docs, id_col, text, (), n)
-    grams = X.answer(X.ask(chunks, _grams_of(n, size)), _repeated)
-    repeats = X.answer(X.ask_again(chunks, grams, _stretches(n, size)), _shard(size))
+    repeats = X.answer(_sharded(chunks, n, size), _shard(size))
     return X.finish(chunks, repeats, _cut(size), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -79,6 +79,26 @@ def test_suffix_dedup_random(spark):
     assert sum(r[2] for r in got) > 0
 
 
+def test_suffix_dedup_of_hot_hashes(odd, spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 0)
+    for docs in (odd, random_texts(spark, 40, ["a", "bé", "cc"], 30, 200, 2)):
+        got = sorted(map(tuple, suffixes.suffix_report(docs).collect()), key=lambda r: (data.order(r[0]), r[1:]))
+        assert got == data.brute_bytes(pairs(docs))
+
+
+def test_suffix_dedup_deals_a_common_phrase(spark):
+    rnd = random.Random(5)
+    own = lambda: "".join(rnd.choice("bcdefgh") for _ in range(120))
+    rows = [(i, f"{own()} a phrase that a third of all documents hold, word for word {own() if i % 5 else 'z' * 120}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffixes.suffix_report(docs).collect()))
+    assert got == data.brute_bytes(rows) and sum(r[2] for r in got) > 0
+    n = suffixes.X.sides(docs, "text", 2000)
+    sent = suffixes._sharded(suffixes.X.chunked(docs, "doc_id", "text", (), n), n, 100).groupBy("bucket")
+    sizes = [r[1] for r in sent.agg(suffixes.F.sum(suffixes.F.expr("octet_length(keys) + octet_length(extra)"))).collect()]
+    assert max(sizes) < 3 * sum(sizes) / n
+
+
 def near(docs, **options):
     out = minhash.near_duplicates(docs, **options).collect()
     return sorted(map(tuple, out), key=lambda r: (data.order(r[0]), r[1]))
