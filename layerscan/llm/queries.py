@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerscan.llm import anchors, benchmarks, language, minhash, pages, pieces, quality, suffixes, urls, wordpiece
+from layerscan.llm import anchors, benchmarks, language, minhash, pages, partenum, pieces, quality, suffixes, urls, wordpiece
 
 
 def _table(name: str, work: Callable[[DataFrame], DataFrame]):
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": benchmarks.leak_report,
     "op9_language_id": _table("documents", language.language_report),
     "op10_minhash_near_dedup": _table("documents", minhash.near_report),
+    "op11_jaccard_join": _table("documents", partenum.join_report),
 }
 
 ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE}
