@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerscan.llm import anchors, benchmarks, language, minhash, pages, partenum, pieces, quality, suffixes, urls, wordpiece
+from layerscan.llm import (
+    anchors, benchmarks, divergence, language, minhash, pages, partenum, pieces, quality, resampling, suffixes, urls, wordpiece,
+)
 
 
 def _table(name: str, work: Callable[[DataFrame], DataFrame]):
@@ -25,6 +27,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": _table("documents", language.language_report),
     "op10_minhash_near_dedup": _table("documents", minhash.near_report),
     "op11_jaccard_join": _table("documents", partenum.join_report),
+    "op12_divergence": _table("documents", divergence.divergence_report),
+    "op13_resampling": resampling.resample_report,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filters": urls.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_url_filters": urls.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_resampling": resampling.ORACLE,
+}
