@@ -15,13 +15,14 @@ similar sets, the one that stops first shares a choice with features. Only a
 set whose parts all together do not suffice also signs choices without
 features; two such sets share one of either kind. No link is lost.
 
-Signatures travel packed. A task first joins its own copies, so a signature
-costs one entry per task however many of its sets share it; buckets grow in
-number with the corpus, not in size. Each signature pairs its sets with the
-least one; pairs are confirmed on full sets. Signatures whose sets then still
-lie in several components are taken up again: every set of a minority
-component meets, in blocks, every set of another component; pairs that a sketch
-cannot rule out are confirmed too. Nothing is capped.
+Signatures travel packed. A task first joins its own sets, so a signature costs
+one entry per task however many of its sets share it; buckets grow in number with
+the corpus, not in size. Each signature pairs its sets with the least one; pairs
+that neither size nor a sketch rules out are confirmed on full sets, member by
+member against the centre of a star, and a large star is split. Signatures whose
+sets then still lie in several components are taken up again: every set of a
+minority component meets, in blocks, every set of another component. Nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.batches import materialize_in_small_batches
 from layerscan.llm.components import components
 from layerscan.llm.minhash import shingle_sets
 from layerscan.llm.words import mix
@@ -59,6 +59,10 @@ BLOCK = 512
 SETS = 1 << 20
 #: Cells of a sketch.
 CELLS = 256
+#: Features in a part of a star.
+STAR = 1 << 22
+#: Bits of the filter that spares the shuffle texts without candidates.
+FILTER_BITS = 1 << 23
 
 
 def most_different(size: int, percent: int) -> int:
@@ -140,153 +144,242 @@ def _of_band(
     return np.concatenate(out), np.concatenate(owner)
 
 
-def _sketch(keys: np.ndarray) -> bytes:
-    """Sixteen bits per cell of the domain; so many cells differ at most as features do."""
-    cells = np.zeros(CELLS, np.uint64)
-    np.add.at(cells, (keys & np.uint64(CELLS - 1)).astype(np.int64), mix(keys))
-    return (cells >> np.uint64(48)).astype(np.uint16).tobytes()
-
-
-def _names(keys: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """Size and two sums of each set; equal sets have equal ones."""
-    sums = (np.r_[np.uint64(0), np.cumsum(mix(keys + np.uint64(salt)))] for salt in (1, 2))
-    return [np.diff(cuts), *((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums)]
+class _Piece:
+    """Sets of some rows of a task: ids, sizes, sums, sketches and signatures.
 
+    Of equal sets only the first with an id has signatures: classes join the others.
+    """
 
-def _described(batches):
+    def __init__(self, held: list[tuple]):
+        ids, names, sketches, signs, owners = zip(*held)
+        self.ids = pa.concat_arrays(ids)
+        self.names = [np.concatenate(x) for x in zip(*names)]
+        self.sketch = np.concatenate(sketches)
+        starts = np.r_[0, np.cumsum([len(x) for x in ids])[:-1]]
+        owner = np.concatenate([x + start for x, start in zip(owners, starts)])
+        valid, seen = self.ids.is_valid().to_numpy(zero_copy_only=False), {}
+        first = np.array([v and seen.setdefault(x, i) == i for i, (v, x) in enumerate(zip(valid, zip(*self.names)))], bool)
+        kept = first[owner]
+        self.sign, self.owner = np.concatenate(signs)[kept], owner[kept]
+
+    def entries(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key of each signature.
+
+        A key is 32 bits beside the bucket's number; keys that fall together by
+        chance only make a pair that is not confirmed.
+        """
+        bucket = (self.sign % np.uint64(buckets)).astype(np.int64)
+        return bucket, (self.sign // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _pieces(batches, percent: int):
+    held, size = [], 0
     for batch in batches:
         for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
-            columns = [batch.column("id").slice(a, b - a), *map(pa.array, _names(keys, cuts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "one", "two"])
+            sums = (np.r_[np.uint64(0), np.cumsum(mix(keys + np.uint64(salt)))] for salt in (1, 2))
+            names = [np.diff(cuts), *((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums)]
+            held.append((batch.column("id").slice(a, b - a), names, sketches(keys, cuts), *signatures(keys, cuts, percent)))
+            size += len(keys) * 6
+            if size >= PIECE:
+                yield _Piece(held)
+                held, size = [], 0
+    if held:
+        yield _Piece(held)
 
 
-PACKED = "bucket long, keys binary, ids binary, pairs binary"
+def sketches(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A byte per cell of the domain for each set; so many cells differ at most as features do."""
+    cells = np.zeros((len(cuts) - 1) * CELLS, np.uint64)
+    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    np.add.at(cells, row * CELLS + (keys & np.uint64(CELLS - 1)).astype(np.int64), mix(keys))
+    return (cells >> np.uint64(56)).astype(np.uint8).reshape(-1, CELLS)
 
 
-def _packed(sign: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row per bucket: its signatures with the least id of each, and the pairs found here.
+def _ruled_out(size: np.ndarray, sketch: np.ndarray, other_size: np.ndarray, other_sketch: np.ndarray, percent: int):
+    """Pairs that cannot be similar by size or sketch."""
+    small, large = np.minimum(size, other_size), np.maximum(size, other_size)
+    # Similar sets share percent / (100 + percent) of the sum of their sizes at least.
+    most = (100 - percent) * (size + other_size) // (100 + percent)
+    return (100 * small < percent * large) | ((sketch != other_sketch).sum(axis=1) > most)
+
+
+def _described(percent: int, buckets: int):
+    """Size, sums and sketch of each set, and those of its signatures that another set of the task has."""
+
+    def run(batches):
+        for piece in _pieces(batches, percent):
+            bucket, key = piece.entries(buckets)
+            named = (bucket << 32) | key
+            _, where, times = np.unique(named, return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(times[where] > 1)
+            shared = shared[np.argsort(piece.owner[shared], kind="stable")]
+            cuts = np.searchsorted(piece.owner[shared], np.arange(len(piece.ids) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.ids,
+                    *map(pa.array, piece.names),
+                    pa.array([x.tobytes() for x in piece.sketch], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(named[shared])),
+                ],
+                names=["id", "n", "one", "two", "sketch", "signs"],
+            )
+
+    return run
 
-    A key is 32 bits beside the bucket's number; keys that fall together by
-    chance only make a pair that is not confirmed.
-    """
-    order = np.lexsort((ids, sign))
-    sign, ids = sign[order], ids[order]
-    new = np.r_[True, sign[1:] != sign[:-1]][: len(sign)]
-    least = ids[new][np.cumsum(new) - 1]
-    pair = np.stack((least, ids), axis=1)[~new & (least != ids)]
-    pair = np.unique(pair, axis=0)
-    sign, ids = sign[new], ids[new]
-    bucket = (sign % np.uint64(buckets)).astype(np.int64)
-    key = (sign // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    key, ids, cuts = key[order], ids[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-    home = (mix(pair[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    pair, ends = pair[order], np.searchsorted(home[order], np.arange(buckets + 1))
-    sent = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ends) > 0))
-    cut = lambda x, c: pa.array([x[c[b] : c[b + 1]].tobytes() for b in sent], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(sent), cut(key, cuts), cut(ids, cuts), cut(pair, ends)], names=["bucket", "keys", "ids", "pairs"]
-    )
+
+DESCRIBED = "id long, n long, one long, two long, sketch binary, signs array<long>"
+PACKED = "bucket long, keys binary, runs binary, ids binary, pairs binary"
 
 
 def _signed(percent: int, buckets: int):
+    """A row per bucket: its signatures with the least id of each, and the pairs found here.
+
+    Signatures of one id follow each other, so the id is sent once, with their number.
+    """
+
     def run(batches):
-        held, seen, size = [], {}, 0
-        for batch in batches:
-            usable = batch.filter(batch.column("id").is_valid())
-            ids = usable.column("id").to_numpy()
-            for a, b, keys, cuts in shingle_sets(usable.column("text"), SHINGLE):
-                # Of equal sets the task signs the first; classes join the others.
-                named = enumerate(zip(*(x.tolist() for x in _names(keys, cuts))))
-                first = np.array([seen.setdefault(x, (len(held), i)) == (len(held), i) for i, x in named], bool)
-                sign, owner = signatures(keys, cuts, percent)
-                fresh = first[owner]
-                held.append((sign[fresh], ids[a:b][owner[fresh]]))
-                size += len(keys) * 6
-            if size >= PIECE:
-                yield _packed(*map(np.concatenate, zip(*held)), buckets)
-                held, seen, size = [], {}, 0
-        if held:
-            yield _packed(*map(np.concatenate, zip(*held)), buckets)
+        for piece in _pieces(batches, percent):
+            if not len(piece.sign):
+                continue
+            ids = piece.ids.fill_null(0).to_numpy()[piece.owner]
+            bucket, key = piece.entries(buckets)
+            order = np.lexsort((ids, key, bucket))
+            bucket, key, ids = bucket[order], key[order], ids[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]
+            least = ids[new][np.cumsum(new) - 1]
+            pair = np.unique(np.stack((least, ids), axis=1)[least != ids], axis=0)
+            bucket, key, ids = bucket[new], key[new], ids[new]
+            order = np.lexsort((ids, bucket))
+            bucket, key, ids = bucket[order], key[order], ids[order]
+            begin = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])])
+            runs = np.diff(np.r_[begin, len(ids)]).astype(np.uint32)
+            home = (mix(pair[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            pair, home, each = pair[order], home[order], np.arange(buckets + 1)
+            of_keys, of_runs, of_pairs = (np.searchsorted(x, each) for x in (bucket, bucket[begin], home))
+            sent = np.flatnonzero((np.diff(of_keys) > 0) | (np.diff(of_pairs) > 0))
+            cut = lambda x, c: pa.array([x[c[b] : c[b + 1]].tobytes() for b in sent], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sent), cut(key, of_keys), cut(runs, of_runs), cut(ids[begin], of_runs), cut(pair, of_pairs)],
+                names=["bucket", "keys", "runs", "ids", "pairs"],
+            )
 
     return run
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket: those found in tasks, and each set with the least of its signature."""
+    """Of a bucket: pairs ``a``, ``b``, and the sets ``a`` of each signature ``sign`` that tasks share."""
     joined = lambda c, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
-    keys, ids = joined("keys", np.uint32), joined("ids", np.int64)
+    keys, ids = joined("keys", np.uint32), np.repeat(joined("ids", np.int64), joined("runs", np.uint32))
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
     least = ids[new][np.cumsum(new) - 1]
     pairs = np.stack((least, ids), axis=1)[least != ids]
     pairs = np.unique(np.concatenate((pairs, joined("pairs", np.int64).reshape(-1, 2))), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    shared = np.flatnonzero(np.repeat(np.diff(np.r_[np.flatnonzero(new), len(keys)]) > 1, np.diff(np.r_[np.flatnonzero(new), len(keys)])))
+    sign = (table["bucket"][0].as_py() << 32) | keys[shared].astype(np.int64)
+    return pa.table(
+        {
+            "a": pa.array(np.r_[pairs[:, 0], ids[shared]]),
+            "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(shared), pa.int64())]),
+            "sign": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sign)]),
+        }
+    )
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``id``, size, sketch and packed set of the named documents."""
+def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that size and sketch do not rule out, with the size of ``b``."""
 
-    def full(batches):
+    def run(batches):
         for batch in batches:
-            for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
-                own = [keys[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(a, b - a),
-                        pa.array(np.diff(cuts)),
-                        pa.array(list(map(_sketch, own)), pa.binary()),
-                        pa.array([x.tobytes() for x in own], pa.binary()),
-                    ],
-                    names=["id", "n", "sketch", "full"],
-                )
-
-    return materialize_in_small_batches(
-        docs.join(ids.distinct(), "id", "left_semi").mapInArrow(full, "id long, n long, sketch binary, full binary"),
-        "sets",
+            if batch.num_rows:
+                sketch = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("sketch_a", "sketch_b")]
+                size = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+                out = _ruled_out(size[0], sketch[0], size[1], sketch[1], percent)
+                yield batch.select(["a", "b", "n_b"]).filter(pa.array(~out))
+
+    side = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n_b long")
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size: bits of two hashes of each id."""
+    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
     )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, value in words.collect():
+        out[word] = value
+    return out
 
 
-def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(left, right, assume_unique=True))
-    return 100 * both >= percent * (len(left) + len(right) - both)
+def _named_by(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids``, and some others, left out before any shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
+    def among(one: pa.Array, two: pa.Array) -> pa.Array:
+        known = np.ones(len(one), bool)
+        for bit in (one.to_numpy(zero_copy_only=False), two.to_numpy(zero_copy_only=False)):
+            known &= (shared.value[bit >> 6] >> (bit & 63) & 1) == 1
+        return pa.array(known)
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+    bits = (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2))
+    return docs.where(F.arrow_udf(among, "boolean")(*bits))
 
-    def run(batches):
-        for batch in batches:
-            sides = (map(lambda x: np.frombuffer(x, np.uint64), batch.column(c).to_pylist()) for c in ("full_a", "full_b"))
-            keep = [similar(x, y, percent) for x, y in zip(*sides)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("full").alias(f"full_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    joined = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return materialize_in_small_batches(
-        joined.select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long"), "links"
-    )
+def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= percent * (len(left) + len(right) - both)
 
 
-def _resigned(percent: int):
-    """A row per signature of each set, with its component."""
+def _seated(batches):
+    """The full set of each row, once per seat."""
+    schema = pa.schema([("star", pa.int64()), ("salt", pa.int32()), ("center", pa.int32()), ("id", pa.int64()), ("full", pa.binary())])
+    rows, size = [], 0
+    for batch in batches:
+        ids, seats = batch.column("id").to_pylist(), batch.column("seats")
+        for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
+            for i in range(a, b):
+                full = keys[cuts[i - a] : cuts[i - a + 1]].tobytes()
+                for seat in seats[i].as_py():
+                    rows.append((seat["star"], seat["salt"], seat["center"], ids[i], full))
+                    size += len(full)
+                    if size >= 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``pairs`` whose full sets are similar enough.
+
+    All pairs of an ``a`` are a star; a star of many features is split by ``b``.
+    """
 
-    def run(batches):
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("full").to_pylist()]
-            if not sets:
-                continue
-            sign, owner = signatures(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], percent)
-            owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sign.view(np.int64)), batch.column("id").take(owner), batch.column("component").take(owner)],
-                names=["sign", "id", "component"],
-            )
+    def check(table):
+        sets = [np.frombuffer(x, np.uint64) for x in table["full"].to_pylist()]
+        center, ids = table["center"].to_numpy(), table["id"].to_numpy()
+        own = [sets[i] for i in np.flatnonzero(center == 1)]
+        found = [i for i in np.flatnonzero(center == 0) if any(similar(x, sets[i], percent) for x in own)]
+        return pa.table({"a": table["star"].take(pa.array(found, pa.int64())), "b": pa.array(ids[found], pa.int64())})
 
-    return run
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / STAR).cast("int").alias("salts"))
+    members = pairs.join(salts, "a").select(
+        F.col("b").alias("id"), F.col("a").alias("star"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("center")
+    )
+    centers = salts.select(
+        F.col("a").alias("id"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("center")
+    )
+    seats = materialize(
+        members.union(centers).groupBy("id").agg(F.collect_list(F.struct("star", "salt", "center")).alias("seats")), "seats"
+    )
+    full = _named_by(docs, seats.select("id")).join(seats, "id").select("id", "text", "seats")
+    full = full.mapInArrow(_seated, "star long, salt int, center int, id long, full binary")
+    return materialize(full.groupBy("star", "salt").applyInArrow(check, "a long, b long"), "links")
 
 
 def _met(percent: int):
@@ -294,34 +387,28 @@ def _met(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        ids, comp, size, guest = (table[c].to_numpy() for c in ("id", "component", "n", "guest"))
-        minor = table["minor"].to_numpy()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, CELLS)
+        ids, comp, size, guest, minor = (table[c].to_numpy() for c in ("id", "component", "n", "guest", "minor"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
         home = np.flatnonzero(guest == 0)
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty((0, 3), np.int64)]
         for i in np.flatnonzero(guest == 1):
             other = home[comp[home] != comp[i]]
             # Two sets of minorities both visit; the smaller id meets the other at home.
             other = other[(minor[other] == 0) | (ids[other] > ids[i])]
-            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-            other = other[100 * small >= percent * large]
-            # Similar sets of a and b features share percent / (100 + percent) of a + b.
-            most = (100 - percent) * (size[other] + size[i]) // (100 + percent)
-            other = other[(sketch[other] != sketch[i]).sum(axis=1) <= most]
+            other = other[~_ruled_out(size[i], sketch[i], size[other], sketch[other], percent)]
             if len(other):
-                both = np.stack((np.full(len(other), ids[i]), ids[other]), axis=1)
-                found.append(np.sort(both, axis=1))
+                least = np.minimum(ids[other], ids[i])
+                found.append(np.stack((least, np.maximum(ids[other], ids[i]), np.where(least == ids[i], size[other], size[i])), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "n_b": pa.array(pairs[:, 2])})
 
     return run
 
 
-def _across(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, named: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature whose sets still lie in different components."""
-    placed = sets.join(named, "id", "left").select("id", "full", F.coalesce("component", "id").alias("component"))
-    rows = materialize_in_small_batches(
-        placed.mapInArrow(_resigned(percent), "sign long, id long, component long"), "signatures"
+    rows = materialize(
+        members.join(named, "id", "left").select("sign", "id", F.coalesce("component", "id").alias("component")), "signatures"
     )
     mixed = (
         rows.groupBy("sign", "component").agg(F.count("*").alias("size"))
@@ -331,18 +418,18 @@ def _across(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
         .where("parts > 1")
         .select("sign", F.col("major.component").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
     )
-    members = rows.join(mixed, "sign").select(
+    of_mixed = rows.join(mixed, "sign").select(
         "sign", "id", "component", "blocks", (F.col("component") != F.col("major")).cast("int").alias("minor")
     )
-    at_home = members.select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("guest"))
-    visits = members.where("minor = 1").select(
+    at_home = of_mixed.select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("guest"))
+    visits = of_mixed.where("minor = 1").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("guest")
     )
     seats = materialize(at_home.union(visits), "seats")
-    described = sets.select("id", "n", "sketch")
     return (
-        seats.join(described, "id").select("sign", "block", "id", "component", "n", "guest", "minor", "sketch")
-        .groupBy("sign", "block").applyInArrow(_met(percent), "a long, b long").distinct()
+        seats.join(described.select("id", "n", "sketch"), "id")
+        .select("sign", "block", "id", "component", "n", "guest", "minor", "sketch")
+        .groupBy("sign", "block").applyInArrow(_met(percent), "a long, b long, n_b long").distinct()
     )
 
 
@@ -359,22 +446,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
     if not 50 < percent < 100:
         raise ValueError("percent lies between 50 and 100")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    described = materialize(docs.mapInArrow(_described, "id long, n long, one long, two long"), "described")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    described = materialize(docs.mapInArrow(_described(percent, buckets), DESCRIBED), "described")
     usable = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(usable.groupBy("n", "one", "two").agg(F.min("id").alias("class")), "classes")
     copies = (
-        usable.join(classes, ["n", "one", "two"]).where("id != class")
+        usable.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("id != class")
         .select(F.col("class").alias("a"), F.col("id").alias("b"))
     )
     packed = docs.mapInArrow(_signed(percent, buckets), PACKED)
-    pairs = materialize(packed.groupBy("bucket").applyInArrow(_joined, "a long, b long").distinct(), "pairs")
-    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, percent)
-    links = materialize(_confirmed(pairs, sets, percent).union(copies), "links")
+    joined = materialize(packed.groupBy("bucket").applyInArrow(_joined, "a long, b long, sign long"), "joined")
+    members = usable.select("id", F.explode("signs").alias("sign")).union(
+        joined.where("sign is not null").select("a", "sign")
+    )
+    pairs = joined.where("sign is null").select("a", "b").distinct()
+    pairs = materialize(_plausible(pairs, usable, percent), "pairs")
+    links = materialize(_confirmed(pairs, docs, percent).union(copies), "links")
     named = materialize(components(links).toDF("id", "component"), "components")
-    across = materialize(_across(sets, named, percent), "across")
-    more = _confirmed(across, sets, percent)
+    more = _confirmed(materialize(_across(members, named, usable, percent), "across"), docs, percent)
     whole = named.join(
         components(
             more.join(named.toDF("a", "left"), "a", "left").join(named.toDF("b", "right"), "b", "left")

@@ -32,6 +32,8 @@ def test_chains_and_short_texts(spark, monkeypatch):
     """Signatures of several components, and sets of a few features."""
     monkeypatch.setattr(partenum, "BLOCK", 8)
     monkeypatch.setattr(partenum, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(partenum, "STAR", 500)
+    monkeypatch.setattr(partenum, "PIECE", 20_000)
     rnd, rows = random.Random(5), []
     for base in range(3):
         text = [f"t{base}w{n}" for n in range(120)]
