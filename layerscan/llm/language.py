@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.words import process_cache
+from layerscan.llm.words import kept_model
 
 #: Bound on the training documents: those whose id hashes are least.
 SAMPLE = 4096
@@ -94,12 +94,7 @@ class Model(dict):
 
 def _model(learned: dict | None) -> Model | None:
     """The worker's model of broadcast tables."""
-    if learned is None:
-        return None
-    cache = process_cache()
-    if cache.get("language", (None,))[0] is not learned:
-        cache["language"] = (learned, Model(learned))
-    return cache["language"][1]
+    return None if learned is None else kept_model("language", learned, lambda: Model(learned))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:

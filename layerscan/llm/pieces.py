@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm.vocabulary import PIECE_MODEL, SPACE_MARK, read_pieces
-from layerscan.llm.words import process_cache
+from layerscan.llm.words import kept_model
 from layerscan.session import materialize
 
 CHUNK = 32_768
-#: Stretches between spaces whose pieces a Python worker remembers at once.
-MEMORY = 350_000
+#: Bytes of remembered stretches between spaces, of which a Python worker keeps two turns.
+MEMORY = 48 << 20
+#: What a remembered stretch takes besides its characters and ids, about.
+ENTRY_BYTES = 200
+#: Remembered pairs of neighbours.
+PAIRS = 600_000
 OUT_BYTES = 8 << 20
 NO = -np.inf
 
@@ -50,6 +54,7 @@ class Encoder:
         self.follows: dict[str, dict[str, bool]] = {}
         self.n_follows = 0
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.older: dict[str, bytes] = {}
         self.text_of = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -83,7 +88,7 @@ class Encoder:
             after = self.follows[left] = {}
         found = after.get(right)
         if found is None:
-            if self.n_follows >= 3 * MEMORY:
+            if self.n_follows >= PAIRS:
                 self.follows, self.n_follows = {left: after}, 0
                 after.clear()
             found = after[right] = self.merged(left + right) == [left, right]
@@ -189,12 +194,13 @@ class Encoder:
         return b"".join(out)
 
     def _pieces_of(self, stretch: str) -> bytes:
-        """Packed ids of a stretch, remembered for two turns of MEMORY stretches."""
+        """Packed ids of a stretch, remembered for two turns of MEMORY bytes."""
         packed = self.known.get(stretch) or self.older.get(stretch) or self.ids(self.search(stretch))
         if len(stretch) < 64:
-            if len(self.known) >= MEMORY:
-                self.known, self.older = {}, self.known
+            if self.known_bytes >= MEMORY:
+                self.known, self.older, self.known_bytes = {}, self.known, 0
             self.known[stretch] = packed
+            self.known_bytes += ENTRY_BYTES + 2 * len(stretch) + len(packed)
         return packed
 
     def decode(self, ids: list[int]) -> str:
@@ -277,10 +283,7 @@ def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _encoder(vocabulary: dict) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
-    cache = process_cache()
-    if cache.get("encoder", (None,))[0] is not vocabulary:
-        cache["encoder"] = (vocabulary, Encoder(vocabulary))
-    return cache["encoder"][1]
+    return kept_model("encoder", vocabulary, lambda: Encoder(vocabulary))
 
 
 def _marked(text: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm.vocabulary import PIECE_MODEL, read_wordpieces
-from layerscan.llm.words import process_cache
+from layerscan.llm.words import kept_model
 
 #: Words whose counts a Python worker remembers at once.
 MEMORY = 300_000
@@ -91,10 +91,7 @@ class _Counts(dict):
 
 def _counts(vocabulary) -> _Counts:
     """The worker's counts for a broadcast vocabulary."""
-    cache = process_cache()
-    if cache.get("counts", (None,))[0] is not vocabulary:
-        cache["counts"] = (vocabulary, _Counts(Automaton(*vocabulary)))
-    return cache["counts"][1]
+    return kept_model("counts", vocabulary, lambda: _Counts(Automaton(*vocabulary)))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = PIECE_MODEL) -> DataFrame:

@@ -7,6 +7,7 @@ Hashes are polynomials modulo 2^64, taken from prefix sums and then mixed.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,10 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 WORD_BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-SLICE = 1 << 20
+#: Bytes, and words, that are hashed at once.
+SLICE = 1 << 18
+#: Powers of a base that a process keeps.
+KEPT_POWERS = 2 * SLICE
 LAST_ID = np.iinfo(np.int64).max
 
 SPACE = np.zeros(256, bool)
@@ -34,6 +38,20 @@ def process_cache() -> dict:
     return vars(sys).setdefault("_layerscan_llm", {})
 
 
+def kept_model(operator: str, source: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the process until another model is asked for.
+
+    Workers outlive the jobs of an operator. One model at a time is kept, so the
+    memory of a worker does not add up over the operators of a session.
+    """
+    cache = process_cache()
+    held = cache.get("model")
+    if held is None or held[0] != operator or held[1] is not source:
+        cache["model"] = held = None
+        held = cache["model"] = (operator, source, make())
+    return held[2]
+
+
 def _make_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     ahead = np.full(size, base, np.uint64)
     back = np.full(size, pow(base, -1, 1 << 64), np.uint64)
@@ -42,10 +60,15 @@ def _make_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``size`` powers of ``base`` and of its inverse modulo 2^64."""
-    cache = process_cache()
-    if base not in cache or len(cache[base][0]) < size:
-        cache[base] = _make_powers(base, 1 << max(16, int(size - 1).bit_length()))
+    """At least ``size`` powers of ``base`` and of its inverse modulo 2^64.
+
+    A process keeps ``KEPT_POWERS`` of each base; more are made anew.
+    """
+    if size > KEPT_POWERS:
+        return _make_powers(base, size)
+    cache = process_cache().setdefault("powers", {})
+    if base not in cache:
+        cache[base] = _make_powers(base, KEPT_POWERS)
     return cache[base]
 
 
@@ -137,12 +160,18 @@ def window_hashes(
     if n < size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     base = WORD_BASE[which]
-    ahead, back = powers(base, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * ahead[:n], out=sums[1:])
+    ahead, back = powers(base, min(n, SLICE + size) + 1)
     text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     at = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
-    return at, mix((sums[at + size] - sums[at]) * back[at])
+    out = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, n + SLICE, SLICE))
+    for low, (a, b) in zip(range(0, n, SLICE), zip(cuts[:-1], cuts[1:])):
+        part = hashes[low : low + SLICE + size]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * ahead[: len(part)], out=sums[1:])
+        own = at[a:b] - low
+        out[a:b] = (sums[own + size] - sums[own]) * back[own]
+    return at, mix(out)
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:

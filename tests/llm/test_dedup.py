@@ -156,3 +156,25 @@ def test_components_of_random_graphs(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: top(x) for x in above}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_window_hashes_do_not_depend_on_slices(monkeypatch):
+    from layerscan.llm import words
+
+    hashes = mix(np.arange(5000, dtype=np.uint64))
+    first = np.array([0, 1700, 1703, 5000])
+    whole = words.window_hashes(hashes, first, 50)
+    monkeypatch.setattr(words, "SLICE", 64)
+    cut = words.window_hashes(hashes, first, 50)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and len(whole[0]) == 5000 - 3 - 49 * 2
+
+
+def test_a_process_keeps_one_model():
+    from layerscan.llm.words import kept_model
+
+    made = []
+    make = lambda name: lambda: made.append(name) or name
+    source = object()
+    assert kept_model("a", source, make("a")) == kept_model("a", source, make("a")) == "a" and made == ["a"]
+    assert kept_model("b", source, make("b")) == "b" and kept_model("a", source, make("a2")) == "a2"
+    assert made == ["a", "b", "a2"]
