@@ -50,13 +50,15 @@ PIECES, OFF = 3, 1
 #: Choices of pieces of a part that are signed.
 CHOICES = [list(c) for c in combinations(range(PIECES), PIECES - OFF)]
 #: Text bytes whose signatures are joined in a task before they are sent.
-PIECE = 24 << 20
+PIECE = 8 << 20
+#: Rows whose sets are made at once.
+ROWS = 256
 #: Text bytes per bucket of signatures.
 BUCKET_BYTES = 16 << 20
 #: Sets in a block when a signature is taken up again.
 BLOCK = 512
 #: Features signed at once.
-SETS = 1 << 20
+SETS = 1 << 18
 #: Cells of a sketch.
 CELLS = 256
 #: Features in a part of a star.
@@ -172,9 +174,16 @@ class _Piece:
         return bucket, (self.sign // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def small_batches(batches):
+    """The same rows, ``ROWS`` at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _pieces(batches, percent: int):
     held, size = [], 0
-    for batch in batches:
+    for batch in small_batches(batches):
         for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
             sums = (np.r_[np.uint64(0), np.cumsum(mix(keys + np.uint64(salt)))] for salt in (1, 2))
             names = [np.diff(cuts), *((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums)]
@@ -339,7 +348,7 @@ def _seated(batches):
     """The full set of each row, once per seat."""
     schema = pa.schema([("star", pa.int64()), ("salt", pa.int32()), ("center", pa.int32()), ("id", pa.int64()), ("full", pa.binary())])
     rows, size = [], 0
-    for batch in batches:
+    for batch in small_batches(batches):
         ids, seats = batch.column("id").to_pylist(), batch.column("seats")
         for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
             for i in range(a, b):
