@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from layerscan.params import Params
 
 
+def image_digest() -> Column:
+    """Orders records of one arrival number by what they hold."""
+    return F.md5("temps")
+
+
 def arrival_seq(
     df: DataFrame,
     params: Params = Params(),
@@ -29,7 +34,7 @@ def arrival_seq(
     running sum over the buckets' row counts gives each bucket its offset.
     ``bucket`` must grow with ``order_cols``; the default suits ``batch_id``.
     Rows without a key form a key of their own, rows without an order number
-    come first: none is lost.
+    come first: none is lost. Images of one order number go by their digest.
     """
     keys = list(params.key_cols)
     if bucket is None:
@@ -47,7 +52,8 @@ def arrival_seq(
             F.coalesce(F.sum("bucket_rows").over(earlier), F.lit(0)).alias("offset"),
         )
     )
-    in_bucket = Window.partitionBy(*keys, "bucket").orderBy(*order_cols)
+    ties = [image_digest()] if "temps" in df.columns else []
+    in_bucket = Window.partitionBy(*keys, "bucket").orderBy(*order_cols, *ties)
     same = F.lit(True)
     for c in (*keys, "bucket"):
         same &= F.col(c).eqNullSafe(F.col(f"offset_{c}"))

@@ -30,6 +30,7 @@ class Params:
     band_rows: int = 128  # image rows per band
     block_cells: int = 64  # cluster cells per block side
     stream_slots: int = 4  # state keys per tile in a stream
+    stream_held_bytes: int = 32 << 20  # bands of a slot's micro-batch held in memory
 
     @property
     def reach(self) -> int:

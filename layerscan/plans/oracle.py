@@ -167,6 +167,42 @@ LATE_FRAMES = FRAMES.replace(
              + CAST(batch_id % 11 = 3 AS INTEGER)), batch_id, layer""",
 )
 
+# The same with late records apart: those of a lower layer than one before them.
+APPENDED = """
+marked AS (
+  SELECT *, coalesce(layer < max(layer) OVER (PARTITION BY print_id, tile_id ORDER BY append, batch_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_late
+  FROM (SELECT DISTINCT print_id, tile_id, layer, batch_id,
+          least(2, batch_id * 3 // (SELECT max(batch_id) + 1 FROM cells)
+            + CAST(batch_id % 11 = 3 AS INTEGER)) AS append
+        FROM cells)
+)"""
+TIMELY_FRAMES = """
+frames AS (
+  SELECT print_id, tile_id, layer, batch_id, CAST(row_number() OVER (
+           PARTITION BY print_id, tile_id ORDER BY append, batch_id) AS INTEGER) AS seq
+  FROM marked WHERE NOT is_late
+)"""
+
+# Two layers of a tile under one layer and arrival number: their images go by digest.
+DIGESTS = """
+digests AS (
+  SELECT f.*, md5(unhex(string_agg(printf('%02x%02x', coalesce(p.temp, 0) % 256, coalesce(p.temp, 0) // 256), ''
+           ORDER BY r.y, c.x))) AS digest
+  FROM (SELECT DISTINCT print_id, tile_id, layer, batch_id FROM cells) f
+  CROSS JOIN range(32) c(x) CROSS JOIN range(32) r(y)
+  LEFT JOIN cells p ON p.print_id = f.print_id AND p.tile_id = f.tile_id
+    AND p.layer = f.layer AND p.batch_id = f.batch_id AND p.x = c.x AND p.y = r.y
+  GROUP BY ALL
+)"""
+TIED_FRAMES = """
+frames AS (
+  SELECT print_id, tile_id, layer, batch_id, CAST(row_number() OVER (
+           PARTITION BY print_id, tile_id
+           ORDER BY batch_id - 4 * (layer % 2), layer - layer % 2, digest) AS INTEGER) AS seq
+  FROM digests
+)"""
+
 # Damaged messages: some cannot be used, some have no print.
 GOOD_CELLS = """
 cells AS (
@@ -369,6 +405,30 @@ FROM frames GROUP BY ALL""",
     ),
     "stream_results": _results(ORDER_CELLS, 4),
     "stream_late_results": _results_with((ORDER_CELLS,), LATE_FRAMES, PAIRS),
+    "stream_late_side": _results_with(
+        (ORDER_CELLS, APPENDED),
+        TIMELY_FRAMES,
+        PAIRS,
+        RESULTS.replace("t.count\nFROM", "t.count, false AS is_late\nFROM")
+        + """
+UNION ALL
+SELECT batch_id, NULL, print_id, tile_id, layer, NULL, NULL, NULL, NULL, NULL, true FROM marked WHERE is_late""",
+    ),
+    "stream_tied_results": _results_with(
+        (ORDER_CELLS, DIGESTS),
+        TIED_FRAMES,
+        PAIRS,
+        RESULTS.replace("SELECT f.batch_id,", "SELECT f.batch_id - 4 * (f.layer % 2) AS batch_id,", 1).replace(
+            "f.layer,", "f.layer - f.layer % 2 AS layer,", 1
+        ),
+    ),
+    "stream_closed_layers": _with(
+        VECTOR_CELLS,
+        then="""
+SELECT print_id, layer, CAST(count(DISTINCT tile_id) AS INTEGER) AS tiles,
+       count(*) FILTER (temp > 65000) AS saturated, 'watermark' AS closed_by
+FROM cells WHERE layer <= (SELECT max(layer) - 2 FROM cells) GROUP BY print_id, layer""",
+    ),
     "tile_partition": """
 SELECT event_id,
        CAST(CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 15
@@ -389,3 +449,4 @@ FROM grid g JOIN range(4) b(block)
   ON g.y BETWEEN b.block * 8 - 4 AND b.block * 8 + 7 + 4""",
     ),
 }
+ORACLE["stream_counts"] = ORACLE["reject_counts"]

@@ -55,8 +55,12 @@ from layerscan.sources.rasters import (
 from layerscan.streaming.analysis import (
     analyze_stream,
     read_results,
+    start_stateful,
     with_layer_watermark,
 )
+from layerscan.streaming.closing import closed_layers
+from layerscan.streaming.sink import commit, read_table
+from layerscan.streaming.window import SIDE as LATE_APART
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -344,16 +348,20 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze_counted(_damaged(encode_frames(order_frames(spark, sf_dir))), FINE)[1]
 
 
-def _streamed(spark: SparkSession, messages: DataFrame, append: Column) -> DataFrame:
-    """Results of a stream that runs after each append, on from its last state."""
-    path, out = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-out")
-    state = fresh_path(spark, "stream-checkpoint")
+def _appended(spark: SparkSession, messages: DataFrame, append: Column, start) -> None:
+    """Three appends; after each, ``start`` gives a stream that goes on from its last state."""
+    path, state = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-checkpoint")
     messages = materialize(messages.withColumn("append", append), "stream-messages")
     for turn in range(3):
         messages.filter(F.col("append") == turn).drop("append").write.mode("append").parquet(path)
-        source = stream_messages(spark, path, files_per_trigger=1 << 20)
-        analyze_stream(source, out, state, FINE).awaitTermination()
-    return flatten_results(read_results(spark, out))
+        start(stream_messages(spark, path, files_per_trigger=1 << 20), state).awaitTermination()
+
+
+def _streamed(spark: SparkSession, messages: DataFrame, append: Column, **options) -> str:
+    """Folder of the tables of an analysis of three appends."""
+    out = fresh_path(spark, "stream-out")
+    _appended(spark, messages, append, lambda source, state: analyze_stream(source, out, state, FINE, **options))
+    return out
 
 
 def _with_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -365,14 +373,56 @@ def _with_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages as a stream in three appends that cut prints in two."""
     messages, batches = _with_batches(spark, sf_dir)
-    return _streamed(spark, messages, _append_of(batches))
+    return flatten_results(read_results(spark, _streamed(spark, messages, _append_of(batches))))
 
 
 def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with records that come an append late: each counts on arrival."""
     messages, batches = _with_batches(spark, sf_dir)
+    return flatten_results(read_results(spark, _streamed(spark, messages, _late_append_of(batches))))
+
+
+def _late_append_of(batches: int) -> Column:
     late = (F.col("batch_id") % 11 == 3).cast("int")
-    return _streamed(spark, messages, F.least(_append_of(batches) + late, F.lit(2)))
+    return F.least(_append_of(batches) + late, F.lit(2))
+
+
+def stream_late_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with late records kept apart: results, and the late records' rows without any."""
+    messages, batches = _with_batches(spark, sf_dir)
+    out = _streamed(spark, messages, _late_append_of(batches), late=LATE_APART, lateness=0)
+    late = read_results(spark, out, "late").withColumn("is_late", F.lit(True))
+    results = flatten_results(read_results(spark, out)).withColumn("is_late", F.lit(False))
+    return results.unionByName(late, allowMissingColumns=True)
+
+
+def stream_tied_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with two layers of a tile under one layer and arrival number: images go by digest."""
+    messages, batches = _with_batches(spark, sf_dir)
+    layer = F.col("layer") - F.col("layer") % 2
+    tied = messages.withColumn("batch_id", F.col("batch_id") - 4 * (F.col("layer") % 2)).withColumn("layer", layer)
+    return flatten_results(read_results(spark, _streamed(spark, tied, _append_of(batches))))
+
+
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of damaged messages by reject reason, counted by the stream that analyses them."""
+    messages, batches = _with_batches(spark, sf_dir)
+    out = _streamed(spark, _damaged(messages), _append_of(batches))
+    return read_results(spark, out, "counts").groupBy("reject_reason").agg(F.sum("records").alias("records"))
+
+
+def stream_closed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers that the watermark, two layers behind, has closed: tiles seen, saturated pixels."""
+    messages = materialize(encode_frames(vector_frames(spark, sf_dir)), "messages")
+    batches, out = messages.agg(F.max("batch_id")).first()[0] + 1, fresh_path(spark, "stream-out")
+
+    def start(source: DataFrame, state: str):
+        timed = with_layer_watermark(source, lateness="2 milliseconds", first_ms=1000)
+        closed = closed_layers(decode_frames(timed))
+        return start_stateful(closed, lambda rows, n: commit(spark, out, n, {"closed": rows}), state, True)
+
+    _appended(spark, messages, _append_of(batches), start)
+    return read_table(spark, out, "closed")
 
 
 # Placement.
@@ -434,6 +484,10 @@ QUERIES: dict[str, Query] = {
     "reject_counts": reject_counts,
     "stream_results": stream_results,
     "stream_late_results": stream_late_results,
+    "stream_late_side": stream_late_side,
+    "stream_tied_results": stream_tied_results,
+    "stream_counts": stream_counts,
+    "stream_closed_layers": stream_closed_layers,
     "tile_partition": tile_placement,
     "placed_tiles": placed_tiles,
     "halo_blocks": halo_blocks,

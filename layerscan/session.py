@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,22 +50,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/layerscan/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of intermediate tables, by the ``scratch`` block that is open.
-_open_blocks: list[list[str]] = []
+#: Paths of intermediate tables of the ``scratch`` block that is open in this thread.
+_open_block: ContextVar[list[str] | None] = ContextVar("open_block", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that ``materialize`` writes inside the block, at its end.
 
-    Results must be written before the block ends.
+    Results must be written before the block ends. A block is of its thread
+    alone; of nested blocks the inner one deletes its own tables.
     """
     paths: list[str] = []
-    _open_blocks.append(paths)
+    outer = _open_block.set(paths)
     try:
         yield
     finally:
-        _open_blocks.remove(paths)
+        _open_block.reset(outer)
         for path in paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -78,7 +80,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if _open_blocks:
-        _open_blocks[-1].append(path)
+    block = _open_block.get()
+    if block is not None:
+        block.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

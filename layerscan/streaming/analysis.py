@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from layerscan.operators.bands import scan_bands
-from layerscan.operators.records import split_valid
+from layerscan.operators.bands import SCANNED
 from layerscan.params import Params
 from layerscan.plans.analyze import results_of
+from layerscan.schema import FRAME, IMAGE
 from layerscan.session import materialize, scratch
-from layerscan.sources.messages import decode_frames, decoded_messages
-from layerscan.streaming.window import streaming_band_windows
+from layerscan.sources.messages import decoded_messages
+from layerscan.streaming.sink import commit, read_table
+from layerscan.streaming.window import BAND, DROP, LATE, PROCESS, REJECT, streaming_scan
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# Fixed value: how far event time may run behind its maximum.
+# How far event time may run behind its maximum, a layer being a millisecond.
 MAX_LATENESS = "3 seconds"
+MAX_LATE_LAYERS = 3000
 
 
-def event_time(arrival_time: Column | None = None) -> Column:
-    """A layer's number read as milliseconds, or the arrival time without one."""
-    by_layer = F.timestamp_millis(F.col("layer").cast("bigint"))
+def event_time(arrival_time: Column | None = None, first_ms: int = 0) -> Column:
+    """A layer's number read as milliseconds from ``first_ms``, or the arrival time without one."""
+    by_layer = F.timestamp_millis(F.col("layer").cast("bigint") + first_ms)
     return by_layer if arrival_time is None else F.coalesce(by_layer, arrival_time)
 
 
-def with_layer_watermark(messages: DataFrame, arrival_time: Column | None = None) -> DataFrame:
-    """Event time and watermark for user queries on the stream.
+def with_layer_watermark(
+    messages: DataFrame, arrival_time: Column | None = None, lateness: str = MAX_LATENESS, first_ms: int = 0
+) -> DataFrame:
+    """Event time and watermark, for ``closing`` and for user queries on the stream.
 
-    The analysis does not read it: it takes every record when it arrives.
+    A stream's watermark starts at 0 and drops what is not after it, so layer 0
+    of a stream needs a ``first_ms`` above 0 where the watermark is used.
     """
-    timed = messages.withColumn("event_time", event_time(arrival_time))
-    return timed.withWatermark("event_time", MAX_LATENESS)
+    timed = messages.withColumn("event_time", event_time(arrival_time, first_ms))
+    return timed.withWatermark("event_time", lateness)
 
 
 def analyze_stream(
@@ -44,53 +47,57 @@ def analyze_stream(
     checkpoint: str,
     params: Params = Params(),
     available_now: bool = True,
+    late: str = PROCESS,
+    lateness: int = MAX_LATE_LAYERS,
 ) -> StreamingQuery:
-    """Start the analysis of a message stream; results go to folders below ``out``.
-
-    Each micro-batch writes its own folder and overwrites it when replayed
-    after a failure. With ``available_now`` the query ends once the input
-    present at its start is done, otherwise it runs on.
+    """Start the analysis of a message stream; its tables go below ``out``.
+
+    A micro-batch decodes each payload once and leaves four tables, visible
+    together and replaced when it is replayed: ``results``, ``rejects``, ``late`` and
+    ``counts`` of records by ``reject_reason`` (null: used). A record is late if its
+    layer is more than ``lateness`` below the greatest of its key; ``late`` says
+    whether such records count like others (``process``), go to the late table
+    (``side``), or are only counted (``drop``). With ``available_now`` the query ends
+    once the input present at its start is done, otherwise it runs on.
     """
-    spark = messages.sparkSession
-    windows = streaming_band_windows(decode_frames(messages), params)
-    scanned = scan_bands(windows, params)
+    tagged = streaming_scan(decoded_messages(messages), params, late, lateness)
 
-    def write_results(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         # The stateful step runs once per micro-batch: what it gives is stored.
         with scratch(batch.sparkSession):
-            results = results_of(materialize(batch, "scanned"), params)
-            results.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
-
+            stored = materialize(batch, "tagged")
+            commit(batch.sparkSession, out, batch_id, tables_of(stored, params, late))
+
+    return start_stateful(tagged, write, checkpoint, available_now)
+
+
+def tables_of(tagged: DataFrame, params: Params, late: str = PROCESS) -> dict[str, DataFrame]:
+    """Results, rejects, late records and counts from the tagged rows of a micro-batch."""
+    of_kind = lambda kind: tagged.where(F.col("kind") == kind)
+    scanned = of_kind(BAND).select(*FRAME, "band", "saturated", F.col("flagged").cast(SCANNED).alias("flagged"))
+    # A used record has one band 0.
+    one_each = tagged.where((F.col("kind") != BAND) | (F.col("band") == 0))
+    apart = of_kind(LATE) if late != DROP else of_kind(LATE).limit(0)
+    return {
+        "results": results_of(scanned, params),
+        "rejects": of_kind(REJECT).select(*IMAGE, "reject_reason"),
+        "late": apart.select(*IMAGE),
+        "counts": one_each.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("records")),
+    }
+
+
+def start_stateful(stream: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Start ``write`` for each micro-batch of a stateful stream, with RocksDB as state store."""
+    spark = stream.sparkSession
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        return _start(scanned, write_results, checkpoint, available_now)
+        writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
         spark.conf.set(STATE_STORE, before)
 
 
-def store_rejects(
-    messages: DataFrame, out: str, checkpoint: str, available_now: bool = True
-) -> StreamingQuery:
-    """Start a query that keeps the unusable records of a stream, with reasons."""
-    _, rejects = split_valid(decoded_messages(messages).drop("width", "height", "temps"))
-
-    def write_rejects(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/micro_batch={batch_id}")
-
-    return _start(rejects, write_rejects, checkpoint, available_now)
-
-
-def _start(
-    stream: DataFrame,
-    write: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    available_now: bool,
-) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def read_results(spark: SparkSession, out: str) -> DataFrame:
-    """All results a stream has written so far."""
-    return spark.read.parquet(out).drop("micro_batch")
+def read_results(spark: SparkSession, out: str, name: str = "results") -> DataFrame:
+    """What a stream has written so far: ``results``, ``rejects``, ``late`` or ``counts``."""
+    return read_table(spark, out, name)

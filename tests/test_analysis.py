@@ -14,7 +14,6 @@ from layerscan.sources.messages import encode_frames, stream_messages
 from layerscan.streaming.analysis import (
     analyze_stream,
     read_results,
-    store_rejects,
     with_layer_watermark,
 )
 from pyspark.sql import functions as F
@@ -113,7 +112,7 @@ def run(spark, source, out, checkpoint, params=FINE):
 
 def test_stream_equals_batch_across_a_restart(spark):
     source, out = fresh_path(spark, "t-in"), fresh_path(spark, "t-out")
-    checkpoint, rejected = fresh_path(spark, "t-state"), fresh_path(spark, "t-rejects")
+    checkpoint = fresh_path(spark, "t-state")
     frames = sorted(two_tiles(), key=lambda f: f[3])
     # Sizes change on one tile, and a band layout with several slots in use.
     frames = [(*f[:4], f[4][: 15 + f[3] % 5]) if f[1] else f for f in frames]
@@ -126,10 +125,10 @@ def test_stream_equals_batch_across_a_restart(spark):
     second.coalesce(1).write.mode("append").parquet(source)
     run(spark, source, out, checkpoint, params)
     assert collected(read_results(spark, out)) == results(frames, params)
-    bad_records = fresh_path(spark, "t-rejects-state")
-    store_rejects(stream_messages(spark, source), rejected, bad_records).awaitTermination()
-    reasons = spark.read.parquet(rejected).select("reject_reason").collect()
-    assert sorted(r[0] for r in reasons) == ["bad_payload", "end_marker"]
+    reasons = read_results(spark, out, "rejects").select("batch_id", "reject_reason").collect()
+    assert sorted(map(tuple, reasons)) == [(-1, "end_marker"), (99, "bad_payload")]
+    counts = read_results(spark, out, "counts").groupBy("reject_reason").sum("records").collect()
+    assert dict(map(tuple, counts)) == {None: len(frames), "bad_payload": 1, "end_marker": 1}
 
 
 def test_watermark(spark):
