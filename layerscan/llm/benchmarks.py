@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, window_hashes
+from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, trimmed, window_hashes
 from layerscan.session import materialize
 
 SIZE = 13
@@ -224,7 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (
         f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
     )
     for i, known in enumerate(_slices(benchmark)):
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(known)), schema)
+        rows = rows.mapInArrow(trimmed(_pass(spark.sparkContext.broadcast(known))), schema)
         if i % PASSES == PASSES - 1:
             rows = materialize(rows, "leaks")
     return rows

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerscan.llm.words import trim
+
 ASK = "bucket long, chunk long, keys binary, extra binary"
 ASK_ARROW = pa.schema(
     [("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())]
@@ -83,11 +85,17 @@ def reply(chunks: np.ndarray, row: np.ndarray, keys: np.ndarray) -> pa.Table:
     return pa.table([pa.array(chunks[used]), pa.array(packed, pa.binary())], schema=ANSWER_ARROW)
 
 
+def _trimmed(table: pa.Table) -> pa.Table:
+    """The answer of a group, with the memory of its work given back."""
+    trim()
+    return table
+
+
 def ask(chunks: DataFrame, question: Callable[[int, pa.Table], Iterator[pa.Table]]) -> DataFrame:
     """Rows for the buckets from each chunk's rows."""
 
     def run(key, table):
-        return pa.concat_tables([ASK_ARROW.empty_table(), *question(key[0].as_py(), ordered(table))])
+        return _trimmed(pa.concat_tables([ASK_ARROW.empty_table(), *question(key[0].as_py(), ordered(table))]))
 
     return chunks.groupBy("chunk").applyInArrow(run, ASK)
 
@@ -98,7 +106,7 @@ def ask_again(
     """Rows for the buckets from each chunk's rows and the answers that it got."""
 
     def run(key, table, got):
-        return pa.concat_tables([ASK_ARROW.empty_table(), *question(key[0].as_py(), ordered(table), got["keys"])])
+        return _trimmed(pa.concat_tables([ASK_ARROW.empty_table(), *question(key[0].as_py(), ordered(table), got["keys"])]))
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASK)
 
@@ -107,7 +115,7 @@ def answer(asked: DataFrame, reply_to: Callable[[pa.Table], pa.Table]) -> DataFr
     """Rows for the chunks from all that a bucket was asked."""
 
     def run(table):
-        return reply_to(table.sort_by("chunk"))
+        return _trimmed(reply_to(table.sort_by("chunk")))
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -118,6 +126,6 @@ def finish(
     """Result rows from each chunk's rows and the answers that it got."""
 
     def run(table, got):
-        return work(ordered(table), got["keys"])
+        return _trimmed(work(ordered(table), got["keys"]))
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from layerscan.llm.batches import materialize_in_small_batches
 from layerscan.llm.components import components
-from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, window_hashes
+from layerscan.llm.words import Words, lower_ascii, mix, slices, text_bytes, trimmed, window_hashes
 from layerscan.session import materialize
 
 SHINGLE = 5
@@ -173,7 +173,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 )
 
     return materialize_in_small_batches(
-        docs.join(ids.distinct(), "id", "left_semi").mapInArrow(full, "id long, full binary"), "sets"
+        docs.join(ids.distinct(), "id", "left_semi").mapInArrow(trimmed(full), "id long, full binary"), "sets"
     )
 
 
@@ -297,14 +297,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     described = materialize_in_small_batches(
-        docs.mapInArrow(_described, "id long, n long, one long, two long, sign binary"), "described"
+        docs.mapInArrow(trimmed(_described), "id long, n long, one long, two long, sign binary"), "described"
     )
     usable = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(
         usable.groupBy("one", "two").agg(F.min(F.struct("id", "n", "sign")).alias("least")).select("one", "two", "least.*"),
         "classes",
     )
-    banded = materialize(classes.mapInArrow(_banded, "id long, band int, key long"), "bands")
+    banded = materialize(classes.mapInArrow(trimmed(_banded), "id long, band int, key long"), "bands")
     shared = (
         banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("center"))
         .where("size > 1").select("band", "key", "center")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from layerscan.llm.components import components
 from layerscan.llm.minhash import shingle_sets
-from layerscan.llm.words import mix
+from layerscan.llm.words import mix, trimmed
 from layerscan.session import materialize
 
 SHINGLE = 5
@@ -387,7 +387,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         members.union(centers).groupBy("id").agg(F.collect_list(F.struct("star", "salt", "center")).alias("seats")), "seats"
     )
     full = _named_by(docs, seats.select("id")).join(seats, "id").select("id", "text", "seats")
-    full = full.mapInArrow(_seated, "star long, salt int, center int, id long, full binary")
+    full = full.mapInArrow(trimmed(_seated), "star long, salt int, center int, id long, full binary")
     return materialize(full.groupBy("star", "salt").applyInArrow(check, "a long, b long"), "links")
 
 
@@ -457,14 +457,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    described = materialize(docs.mapInArrow(_described(percent, buckets), DESCRIBED), "described")
+    described = materialize(docs.mapInArrow(trimmed(_described(percent, buckets)), DESCRIBED), "described")
     usable = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(usable.groupBy("n", "one", "two").agg(F.min("id").alias("class")), "classes")
     copies = (
         usable.select("id", "n", "one", "two").join(classes, ["n", "one", "two"]).where("id != class")
         .select(F.col("class").alias("a"), F.col("id").alias("b"))
     )
-    packed = docs.mapInArrow(_signed(percent, buckets), PACKED)
+    packed = docs.mapInArrow(trimmed(_signed(percent, buckets)), PACKED)
     joined = materialize(packed.groupBy("bucket").applyInArrow(_joined, "a long, b long, sign long"), "joined")
     members = usable.select("id", F.explode("signs").alias("sign")).union(
         joined.where("sign is not null").select("a", "sign")

@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.llm.vocabulary import PIECE_MODEL, SPACE_MARK, read_pieces
-from layerscan.llm.words import kept_model
+from layerscan.llm.words import kept_model, trimmed
 from layerscan.session import materialize
 
 CHUNK = 32_768
 #: Bytes of remembered stretches between spaces, of which a Python worker keeps two turns.
-MEMORY = 48 << 20
+MEMORY = 24 << 20
 #: What a remembered stretch takes besides its characters and ids, about.
 ENTRY_BYTES = 200
 #: Remembered pairs of neighbours.
-PAIRS = 600_000
+PAIRS = 300_000
 OUT_BYTES = 8 << 20
 NO = -np.inf
 
@@ -361,9 +361,9 @@ def _encode_long(long: DataFrame, shared, margin: int, chunk: int) -> DataFrame:
         .repartition("uid", "chunk"),
         "parts",
     )
-    matrices = parts.mapInArrow(_matrices(shared), "uid long, chunk long, n long, matrix binary")
+    matrices = parts.mapInArrow(trimmed(_matrices(shared)), "uid long, chunk long, n long, matrix binary")
     states = matrices.groupBy("uid").applyInArrow(_choose, "uid long, chunk long, enter long, leave long")
-    traced = parts.join(states, ["uid", "chunk"]).mapInArrow(_traced(shared), "uid long, chunk long, ids array<int>")
+    traced = parts.join(states, ["uid", "chunk"]).mapInArrow(trimmed(_traced(shared)), "uid long, chunk long, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     return traced.groupBy("uid").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
@@ -409,7 +409,7 @@ def encode(
                     a, packed, decoded, size = i + 1, [], [], 0
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    done = rows.where(~is_long).mapInArrow(short, f"id long, ids array<int>, decoded string{extra}")
+    done = rows.where(~is_long).mapInArrow(trimmed(short), f"id long, ids array<int>, decoded string{extra}")
     long = materialize(rows.where(is_long).withColumn("uid", F.monotonically_increasing_id()), "long")
     whole = _encode_long(long, shared, margin, chunk)
     told = long.select("uid", "id", *extra_names).join(whole, "uid")
@@ -426,7 +426,7 @@ def _decoded(encoded: DataFrame, shared, keep: list[str], extra: str) -> DataFra
                 names=["id", "ids", "decoded", *keep],
             )
 
-    return encoded.select("id", "ids", *keep).mapInArrow(run, f"id long, ids array<int>, decoded string{extra}")
+    return encoded.select("id", "ids", *keep).mapInArrow(trimmed(run), f"id long, ids array<int>, decoded string{extra}")
 
 
 def decode(encoded: DataFrame, model: str = PIECE_MODEL) -> DataFrame:

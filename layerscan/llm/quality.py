@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.words import Words, covered, mix, slices, text_bytes, window_hashes
+from layerscan.llm.words import Words, covered, mix, slices, text_bytes, trimmed, window_hashes
 
 #: Bound on the labelled rows that the model is trained on.
 SAMPLE = 2000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     )
-    rows = texts.select("doc_id", "text", "label").mapInArrow(_with_id, "doc_id long, label double, slots binary, shares binary")
+    rows = texts.select("doc_id", "text", "label").mapInArrow(trimmed(_with_id), "doc_id long, label double, slots binary, shares binary")
     table = rows.toArrow().sort_by("doc_id")
     packed = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[c]]
     return train(table["label"].to_numpy(), packed("slots", np.int32), packed("shares", np.float32))
@@ -218,7 +218,7 @@ def judge(docs: DataFrame, model, carry: tuple[str, ...] = ()) -> DataFrame:
                     names.append("rest")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def quality_report(spark, sf_dir: str) -> DataFrame:
