@@ -119,6 +119,11 @@ def decoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(decode_frames(good))
 
 
+def compressed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as compressed messages, each payload decoded in the pass that checks it."""
+    return pixel_rows(decode_frames(encode_frames(order_frames(spark, sf_dir), deflate=True)))
+
+
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text to typed messages; numbers beyond 32 bits become null."""
     events = table(spark, sf_dir, "events")
@@ -448,6 +453,7 @@ def halo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "pixel_grid": pixel_grid,
     "decoded_messages": decoded_messages,
+    "compressed_messages": compressed_messages,
     "typed_records": typed_records,
     "reject_split": reject_split,
     "arrival_seq": arrival_order,

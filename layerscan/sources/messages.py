@@ -1,35 +1,22 @@
 """Raw tile messages: reading, typing, and the image payload.
 
-A payload is an uncompressed baseline TIFF with one 16-bit grayscale band,
-in strips, of either byte order. Anything else is a bad payload.
+A payload is a TIFF of one 16-bit grayscale band, see ``tiff``. Anything else
+is a bad payload.
 """
 
 from __future__ import annotations
 
-import struct
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerscan.functions.packed import SAMPLE
 from layerscan.operators.records import mark_rejects, split_valid
 from layerscan.schema import MESSAGES
-
-# Fixed values of the TIFF format: tags, and the field types read here.
-TAG_WIDTH = 256
-TAG_HEIGHT = 257
-TAG_BITS = 258
-TAG_COMPRESSION = 259
-TAG_PHOTOMETRIC = 262
-TAG_STRIP_OFFSETS = 273
-TAG_SAMPLES = 277
-TAG_ROWS_PER_STRIP = 278
-TAG_STRIP_BYTES = 279
-FIELD_FORMATS = {3: "H", 4: "I"}
+from layerscan.sources.tiff import DEFLATE, BadImage, decode_image, image_error, single_strip_header
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +83,7 @@ def payload_error(tif: str) -> Column:
     """Why a payload cannot be decoded; null if it can or if there is none."""
 
     def errors(payloads: pa.Array) -> pa.Array:
-        return pa.array([_error_of(p.as_buffer()) if p.is_valid else None for p in payloads])
+        return pa.array([image_error(p.as_buffer()) if p.is_valid else None for p in payloads])
 
     return F.arrow_udf(errors, T.StringType())(tif)
 
@@ -125,12 +112,24 @@ def decode_frames(messages: DataFrame) -> DataFrame:
     return split_valid(decoded_messages(messages))[0]
 
 
-def encode_frames(frames: DataFrame) -> DataFrame:
-    """Packed frames as messages, the inverse of decoding; for replays."""
+def encode_frames(frames: DataFrame, deflate: bool = False) -> DataFrame:
+    """Packed frames as messages, the inverse of decoding; for replays.
+
+    With ``deflate`` payloads are compressed.
+    """
+    if deflate:
+
+        def payloads(widths: pa.Array, heights: pa.Array, temps: pa.Array) -> pa.Array:
+            packed = [zlib.compress(t.as_buffer()) for t in temps]
+            sizes = zip(widths.to_pylist(), heights.to_pylist(), packed)
+            return pa.array([single_strip_header(w, h, DEFLATE, len(p)) + p for w, h, p in sizes], pa.binary())
+
+        tif = F.arrow_udf(payloads, T.BinaryType())("width", "height", "temps")
+        return frames.select("batch_id", "print_id", "tile_id", "layer", tif.alias("tif"))
 
     def headers(widths: pa.Array, heights: pa.Array) -> pa.Array:
         sizes = zip(widths.to_pylist(), heights.to_pylist())
-        return pa.array([_single_strip_header(w, h) for w, h in sizes], pa.binary())
+        return pa.array([single_strip_header(w, h) for w, h in sizes], pa.binary())
 
     header = F.arrow_udf(headers, T.BinaryType())("width", "height")
     return frames.select(
@@ -155,94 +154,11 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def _error_of(payload: pa.Buffer) -> str | None:
-    try:
-        _strips(memoryview(payload))
-    except (struct.error, ValueError, KeyError) as problem:
-        return str(problem) or type(problem).__name__
-    return None
-
-
 def _decoded(payload: pa.Buffer | None) -> tuple:
     """Width, height and samples, and the error if there is one."""
     if payload is None:
         return None, None, None, None
-    view = memoryview(payload)
     try:
-        order, width, height, strips = _strips(view)
-    except (struct.error, ValueError, KeyError) as problem:
-        return None, None, None, str(problem) or type(problem).__name__
-    samples = b"".join(view[start : start + length] for start, length in strips)
-    if order == ">":
-        samples = np.frombuffer(samples, ">u2").astype(SAMPLE).tobytes()
-    return width, height, samples, None
-
-
-def _strips(view: memoryview) -> tuple[str, int, int, list[tuple[int, int]]]:
-    """Byte order, width, height and (start, length) of the strips in use."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(view[:2]))
-    if order is None or struct.unpack_from(order + "H", view, 2) != (42,):
-        raise ValueError("not a TIFF")
-    tags = _read_tags(view, order)
-    width, height = tags[TAG_WIDTH][0], tags[TAG_HEIGHT][0]
-    layout = (
-        tags.get(TAG_BITS, [1]),
-        tags.get(TAG_COMPRESSION, [1]),
-        tags.get(TAG_SAMPLES, [1]),
-    )
-    if layout != ([16], [1], [1]) or tags.get(TAG_PHOTOMETRIC, [1])[0] not in (0, 1):
-        raise ValueError("not uncompressed 16-bit grayscale")
-    if width < 1 or height < 1:
-        raise ValueError("empty image")
-    missing = width * height * SAMPLE.itemsize
-    strips = []
-    rows_per_strip = tags.get(TAG_ROWS_PER_STRIP, [height])[0]
-    strip_bytes = rows_per_strip * width * SAMPLE.itemsize
-    offsets = tags[TAG_STRIP_OFFSETS]
-    lengths = tags.get(TAG_STRIP_BYTES, [strip_bytes] * len(offsets))
-    for start, length in zip(offsets, lengths):
-        used = min(strip_bytes, length, missing)
-        if start + used > len(view):
-            raise ValueError("payload ends early")
-        strips.append((start, used))
-        missing -= used
-    if missing:
-        raise ValueError("pixels missing")
-    return order, width, height, strips
-
-
-def _read_tags(view: memoryview, order: str) -> dict[int, list[int]]:
-    """Integer tags of the first directory."""
-    (directory,) = struct.unpack_from(order + "I", view, 4)
-    (entries,) = struct.unpack_from(order + "H", view, directory)
-    tags = {}
-    for n in range(entries):
-        at = directory + 2 + 12 * n
-        tag, kind, count = struct.unpack_from(order + "HHI", view, at)
-        if kind not in FIELD_FORMATS:
-            continue
-        if not count:
-            raise ValueError(f"tag {tag} is empty")
-        values = f"{order}{count}{FIELD_FORMATS[kind]}"
-        if count * struct.calcsize(FIELD_FORMATS[kind]) > 4:
-            (where,) = struct.unpack_from(order + "I", view, at + 8)
-        else:
-            where = at + 8
-        tags[tag] = list(struct.unpack_from(values, view, where))
-    return tags
-
-
-def _single_strip_header(width: int, height: int) -> bytes:
-    fields = [
-        (TAG_WIDTH, width),
-        (TAG_HEIGHT, height),
-        (TAG_BITS, 16),
-        (TAG_COMPRESSION, 1),
-        (TAG_PHOTOMETRIC, 1),
-        (TAG_STRIP_OFFSETS, 8 + 2 + 12 * 9 + 4),
-        (TAG_SAMPLES, 1),
-        (TAG_ROWS_PER_STRIP, height),
-        (TAG_STRIP_BYTES, width * height * SAMPLE.itemsize),
-    ]
-    directory = b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in fields)
-    return b"II*\0" + struct.pack("<IH", 8, len(fields)) + directory + struct.pack("<I", 0)
+        return *decode_image(payload), None
+    except BadImage as problem:
+        return None, None, None, str(problem)

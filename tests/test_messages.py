@@ -1,6 +1,7 @@
 import base64
 import json
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from layerscan.operators.records import (
     split_valid,
 )
 from layerscan.schema import MESSAGES
+from layerscan.sources import tiff as tiff_module
 from layerscan.session import fresh_path
 from layerscan.sources.messages import (
     check_messages,
@@ -169,3 +171,132 @@ def test_tile_files(spark, tmp_path):
     (folder / "77.tif").write_bytes(tiff(image))
     row = read_tile_files(spark, str(tmp_path)).first()
     assert (row.batch_id, row.tile_id, row.layer, bytes(row.tif)) == (77, 3, 12, tiff(image))
+
+
+def packbits(data):
+    out, at = b"", 0
+    while at < len(data):
+        run = 1
+        while at + run < len(data) and run < 128 and data[at + run] == data[at]:
+            run += 1
+        if run > 1:
+            out += bytes([257 - run]) + data[at : at + 1]
+        else:
+            while at + run < len(data) and run < 128 and data[at + run] != data[at + run - 1]:
+                run += 1
+            out += bytes([run - 1]) + data[at : at + run]
+        at += run
+    return out + b"\x80"
+
+
+def lzw(data):
+    """Codes of 9 to 12 bits, high bit first, a new table when one is full."""
+    bits, table, word = "", None, b""
+    width = lambda: min(12, max(9, (len(table) + 2).bit_length()))
+
+    def clear():
+        nonlocal bits, table
+        bits += format(256, f"0{width() if table else 9}b")
+        table = {bytes([i]): i for i in range(256)}
+
+    clear()
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        bits += format(table[word], f"0{width()}b")
+        table[longer] = len(table) + 2
+        if len(table) >= 4092:
+            clear()
+        word = data[i : i + 1]
+    if word:
+        bits += format(table[word], f"0{width()}b")
+        table[word + b"\0\0"] = len(table) + 2
+    bits += format(257, f"0{width()}b")
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+ENCODERS = {1: bytes, 5: lzw, 8: zlib.compress, 32946: zlib.compress, 32773: packbits}
+
+
+def image_file(image, compression, order="<", rows=7, tile=None, predictor=1):
+    """A TIFF in strips of ``rows`` rows or tiles of ``tile`` (height, width)."""
+    height, width = image.shape
+    down, across = tile or (rows, width)
+    if tile:
+        image = np.pad(image, ((0, -height % down), (0, -width % across)))
+    parts = []
+    for y in range(0, height, down):
+        for x in range(0, width, across):
+            part = image[y : y + down, x : x + across].astype(np.uint16)
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.uint16(0)).astype(np.uint16)
+            parts.append(ENCODERS[compression](part.astype(order + "u2").tobytes()))
+    starts = [8 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    tags = {256: [width], 257: [height], 258: [16], 259: [compression], 262: [1], 277: [1], 317: [predictor]}
+    tags |= {322: [across], 323: [down], 324: starts, 325: [*map(len, parts)]} if tile else {273: starts, 278: [down], 279: [*map(len, parts)]}
+    lists, entries, at = b"", b"", 8 + sum(map(len, parts))
+    for tag, values in sorted(tags.items()):
+        if len(values) == 1:
+            entries += struct.pack(order + "HHII", tag, 4, 1, values[0])
+        else:
+            entries += struct.pack(order + "HHII", tag, 4, len(values), at + len(lists))
+            lists += struct.pack(f"{order}{len(values)}I", *values)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at + len(lists))
+    return head + b"".join(parts) + lists + struct.pack(order + "H", len(tags)) + entries + bytes(4)
+
+
+def test_lzw_of_the_format_description():
+    """7 7 7 8 8 7 7 6 6 as clear, 7, 258, 8, 8, 258, 6, 6, end in nine bits each."""
+    codes = (256, 7, 258, 8, 8, 258, 6, 6, 257)
+    bits = "".join(format(c, "09b") for c in codes)
+    bits += "0" * (-len(bits) % 8)
+    assert tiff_module.unpack_lzw(int(bits, 2).to_bytes(len(bits) // 8, "big"), 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+@pytest.mark.parametrize("compression", ENCODERS)
+@pytest.mark.parametrize("tile", [None, (8, 16)])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_compressed_and_tiled_images(compression, tile, predictor):
+    for seed, image in enumerate([*random_images(7, 2, 22, 37), np.full((30, 20), 65535), np.arange(90 * 70).reshape(90, 70) * 37 % 65536]):
+        for order in "<>":
+            payload = image_file(image, compression, order, tile=tile, predictor=predictor)
+            assert tiff_module.image_error(payload) is None
+            width, height, samples = tiff_module.decode_image(payload)
+            assert (np.frombuffer(samples, "<u2").reshape(height, width) == image).all()
+
+
+def test_damaged_images_are_errors():
+    """Cut and changed bytes give an image or a bad one, never another error."""
+    rng, image = np.random.default_rng(5), random_images(9, 1, 25, 18)[0]
+    for compression in ENCODERS:
+        whole = image_file(image, compression, tile=(8, 16) if compression == 5 else None)
+        bad = 0
+        for turn in range(150):
+            payload = bytearray(whole[: rng.integers(0, len(whole))] if turn % 2 else whole)
+            for at in rng.integers(0, max(1, len(payload)), 3 if turn % 2 == 0 else 0):
+                payload[at] = rng.integers(0, 256)
+            error = tiff_module.image_error(bytes(payload))
+            try:
+                tiff_module.decode_image(bytes(payload))
+                assert error is None
+            except tiff_module.BadImage:
+                assert error is not None
+                bad += 1
+        assert bad > 60
+    huge = image_file(np.zeros((1, 1)), 8)
+    at = huge.index(struct.pack("<HHII", 256, 4, 1, 1))
+    assert tiff_module.image_error(huge[: at + 8] + struct.pack("<I", 1 << 31) + huge[at + 12 :]) == "pixels missing"
+
+
+def test_compressed_messages(spark):
+    images = random_images(11, 6, 20, 24)
+    kinds = list(ENCODERS)
+    rows = [(n, "p", 0, n, image_file(x, kinds[n % len(kinds)], tile=(16, 16) if n % 2 else None)) for n, x in enumerate(images)]
+    rows.append((9, "p", 0, 9, rows[1][4][:-40]))
+    decoded = decoded_messages(spark.createDataFrame(rows, MESSAGES)).collect()
+    assert {r.batch_id: r.reject_reason for r in decoded} == {**dict.fromkeys(range(6)), 9: "bad_payload"}
+    for r in decoded[:6]:
+        assert (np.frombuffer(r.temps, "<u2").reshape(r.height, r.width) == images[r.batch_id]).all()
