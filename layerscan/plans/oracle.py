@@ -451,3 +451,4 @@ FROM grid g JOIN range(4) b(block)
 }
 ORACLE["stream_counts"] = ORACLE["reject_counts"]
 ORACLE["compressed_messages"] = ORACLE["decoded_messages"]
+ORACLE["log_stream_results"] = ORACLE["stream_results"]

@@ -36,6 +36,7 @@ from layerscan.operators.stencil import (
 from layerscan.params import Params
 from layerscan.plans.analyze import analyze, analyze_counted, write_results
 from layerscan.session import fresh_path, materialize
+from layerscan.sources.log import append_log, stream_log
 from layerscan.sources.messages import (
     check_messages,
     decode_frames,
@@ -387,6 +388,16 @@ def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_results(read_results(spark, _streamed(spark, messages, _late_append_of(batches))))
 
 
+def log_stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages pulled from a log by record number, in two runs that stop amid a segment."""
+    path, out, state = (fresh_path(spark, f"log-{x}") for x in ("in", "out", "checkpoint"))
+    messages = encode_frames(order_frames(spark, sf_dir)).repartitionByRange(3, "batch_id")
+    total = append_log(messages.sortWithinPartitions("batch_id"), path, end=True)
+    for limit in (total // 2, 0):
+        analyze_stream(stream_log(spark, path, limit), out, state, FINE).awaitTermination()
+    return flatten_results(read_results(spark, out))
+
+
 def _late_append_of(batches: int) -> Column:
     late = (F.col("batch_id") % 11 == 3).cast("int")
     return F.least(_append_of(batches) + late, F.lit(2))
@@ -489,6 +500,7 @@ QUERIES: dict[str, Query] = {
     "damaged_results": damaged_results,
     "reject_counts": reject_counts,
     "stream_results": stream_results,
+    "log_stream_results": log_stream_results,
     "stream_late_results": stream_late_results,
     "stream_late_side": stream_late_side,
     "stream_tied_results": stream_tied_results,
