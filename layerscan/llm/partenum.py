@@ -59,8 +59,10 @@ BUCKET_BYTES = 16 << 20
 BLOCK = 512
 #: Features signed at once.
 SETS = 1 << 18
-#: Cells of a sketch.
+#: Cells of a rough sketch.
 CELLS = 256
+#: Rows of a block that is gone through together with others.
+SMALL = 64
 #: Features in a part of a star.
 STAR = 1 << 22
 #: Bits of the filter that spares the shuffle texts without candidates.
@@ -153,10 +155,10 @@ class _Piece:
     """
 
     def __init__(self, held: list[tuple]):
-        ids, names, sketches, signs, owners = zip(*held)
+        ids, names, drawn, signs, owners = zip(*held)
         self.ids = pa.concat_arrays(ids)
         self.names = [np.concatenate(x) for x in zip(*names)]
-        self.sketch = np.concatenate(sketches)
+        self.sketch, self.fine = (sum(x, []) for x in zip(*drawn))
         starts = np.r_[0, np.cumsum([len(x) for x in ids])[:-1]]
         owner = np.concatenate([x + start for x, start in zip(owners, starts)])
         valid, seen = self.ids.is_valid().to_numpy(zero_copy_only=False), {}
@@ -181,13 +183,15 @@ def small_batches(batches):
             yield batch.slice(i, ROWS)
 
 
-def _pieces(batches, percent: int):
+def _pieces(batches, percent: int, draw: bool = False):
     held, size = [], 0
     for batch in small_batches(batches):
         for a, b, keys, cuts in shingle_sets(batch.column("text"), SHINGLE):
             sums = (np.r_[np.uint64(0), np.cumsum(mix(keys + np.uint64(salt)))] for salt in (1, 2))
             names = [np.diff(cuts), *((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums)]
-            held.append((batch.column("id").slice(a, b - a), names, sketches(keys, cuts), *signatures(keys, cuts, percent)))
+            rough = np.full(b - a, CELLS)
+            drawn = (sketches(keys, cuts, rough), sketches(keys, cuts, fine_cells(names[0]))) if draw else ([], [])
+            held.append((batch.column("id").slice(a, b - a), names, drawn, *signatures(keys, cuts, percent)))
             size += len(keys) * 6
             if size >= PIECE:
                 yield _Piece(held)
@@ -196,12 +200,30 @@ def _pieces(batches, percent: int):
         yield _Piece(held)
 
 
-def sketches(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A byte per cell of the domain for each set; so many cells differ at most as features do."""
-    cells = np.zeros((len(cuts) - 1) * CELLS, np.uint64)
-    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    np.add.at(cells, row * CELLS + (keys & np.uint64(CELLS - 1)).astype(np.int64), mix(keys))
-    return (cells >> np.uint64(56)).astype(np.uint8).reshape(-1, CELLS)
+def sketches(keys: np.ndarray, cuts: np.ndarray, cells: np.ndarray) -> list[bytes]:
+    """A byte per cell of the domain, a sum of features, for each set of so many cells (a power of 2).
+
+    Of two sets so many cells differ at most as features do. A sketch of fewer
+    cells is a sum of parts of one of more.
+    """
+    ends = np.r_[0, np.cumsum(cells)]
+    row = np.repeat(np.arange(len(cells)), np.diff(cuts))
+    sums = np.zeros(ends[-1], np.uint64)
+    np.add.at(sums, ends[row] + (keys & (cells[row] - 1).astype(np.uint64)).astype(np.int64), mix(keys) >> np.uint64(56))
+    sums = sums.astype(np.uint8)
+    return [sums[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def fine_cells(sizes: np.ndarray) -> np.ndarray:
+    """Cells of a fine sketch: about one or two per feature."""
+    return np.array([max(CELLS, 1 << (max(int(n), 1) - 1).bit_length()) for n in sizes], np.int64)
+
+
+def _finely_ruled_out(left: bytes, right: bytes, sizes: int, percent: int) -> bool:
+    """``_ruled_out`` by fine sketches, the larger one folded to the cells of the other."""
+    x, y = sorted((np.frombuffer(s, np.uint8) for s in (left, right)), key=len)
+    y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.uint8)
+    return int((x != y).sum()) > (100 - percent) * sizes // (100 + percent)
 
 
 def _ruled_out(size: np.ndarray, sketch: np.ndarray, other_size: np.ndarray, other_sketch: np.ndarray, percent: int):
@@ -216,7 +238,7 @@ def _described(percent: int, buckets: int):
     """Size, sums and sketch of each set, and those of its signatures that another set of the task has."""
 
     def run(batches):
-        for piece in _pieces(batches, percent):
+        for piece in _pieces(batches, percent, draw=True):
             bucket, key = piece.entries(buckets)
             named = (bucket << 32) | key
             _, where, times = np.unique(named, return_inverse=True, return_counts=True)
@@ -227,16 +249,17 @@ def _described(percent: int, buckets: int):
                 [
                     piece.ids,
                     *map(pa.array, piece.names),
-                    pa.array([x.tobytes() for x in piece.sketch], pa.binary()),
+                    pa.array(piece.sketch, pa.binary()),
+                    pa.array(piece.fine, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(named[shared])),
                 ],
-                names=["id", "n", "one", "two", "sketch", "signs"],
+                names=["id", "n", "one", "two", "sketch", "fine", "signs"],
             )
 
     return run
 
 
-DESCRIBED = "id long, n long, one long, two long, sketch binary, signs array<long>"
+DESCRIBED = "id long, n long, one long, two long, sketch binary, fine binary, signs array<long>"
 PACKED = "bucket long, keys binary, runs binary, ids binary, pairs binary"
 
 
@@ -298,19 +321,18 @@ def _joined(table: pa.Table) -> pa.Table:
 
 
 def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that size and sketch do not rule out, with the size of ``b``."""
+    """Pairs ``a``, ``b`` that neither size nor sketch rules out, with the size of ``b``."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                sketch = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("sketch_a", "sketch_b")]
-                size = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-                out = _ruled_out(size[0], sketch[0], size[1], sketch[1], percent)
-                yield batch.select(["a", "b", "n_b"]).filter(pa.array(~out))
+            columns = (batch.column(c).to_pylist() for c in ("fine_a", "fine_b", "n_a", "n_b"))
+            keep = [not _finely_ruled_out(x, y, n + m, percent) for x, y, n, m in zip(*columns)]
+            yield batch.select(["a", "b", "n_b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n_b long")
+    side = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    joined = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return joined.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long, n_b long")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -392,28 +414,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(percent: int):
-    """Pairs of a block across components that size and sketch do not rule out."""
+    """Pairs of a block across components that size and sketch do not rule out.
+
+    Rows come in order of signature, block and id; small blocks are gone through together.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, comp, size, guest, minor = (table[c].to_numpy() for c in ("id", "component", "n", "guest", "minor"))
+    def pairs_of(table: pa.Table) -> np.ndarray:
+        sign, block, ids, comp, size, guest, minor = (
+            table[c].to_numpy() for c in ("sign", "block", "id", "component", "n", "guest", "minor")
+        )
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
-        home = np.flatnonzero(guest == 0)
-        found = [np.empty((0, 3), np.int64)]
-        for i in np.flatnonzero(guest == 1):
-            other = home[comp[home] != comp[i]]
-            # Two sets of minorities both visit; the smaller id meets the other at home.
-            other = other[(minor[other] == 0) | (ids[other] > ids[i])]
-            other = other[~_ruled_out(size[i], sketch[i], size[other], sketch[other], percent)]
-            if len(other):
-                least = np.minimum(ids[other], ids[i])
-                found.append(np.stack((least, np.maximum(ids[other], ids[i]), np.where(least == ids[i], size[other], size[i])), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "n_b": pa.array(pairs[:, 2])})
+        begin = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (block[1:] != block[:-1])])
+        sizes = np.diff(np.r_[begin, len(sign)])
+        found = [np.empty((0, 2), np.int64)]
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            """A visiting set meets one at home; of two visitors, the smaller id meets the other at home."""
+            ok = (comp[i] != comp[j]) & (guest[i] != guest[j]) & ((guest[i] == 1) | (minor[i] == 0)) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            ok = ~_ruled_out(size[i], sketch[i], size[j], sketch[j], percent)
+            found.append(np.stack((ids[i[ok]], ids[j[ok]]), axis=1))
+
+        small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+        end = np.repeat(begin + sizes, sizes)[small]
+        for step in range(1, SMALL):
+            inside = small + step < end
+            if not inside.any():
+                break
+            meet(small[inside], small[inside] + step)
+        for a, n in zip(begin[sizes > SMALL], sizes[sizes > SMALL]):
+            for i in range(a, a + n - 1):
+                meet(np.full(a + n - 1 - i, i), np.arange(i + 1, a + n))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            if not table.num_rows:
+                continue
+            sign, block = table["sign"].to_numpy(), table["block"].to_numpy()
+            last = np.flatnonzero((sign != sign[-1]) | (block != block[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            left = table.slice(cut)
+            if cut:
+                yield from _as_pairs(pairs_of(table.slice(0, cut)))
+        if left is not None:
+            yield from _as_pairs(pairs_of(left))
 
     return run
 
 
+def _as_pairs(pairs: np.ndarray):
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _across(members: DataFrame, named: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature whose sets still lie in different components."""
     rows = materialize(
@@ -438,7 +494,8 @@ def _across(members: DataFrame, named: DataFrame, described: DataFrame, percent:
     return (
         seats.join(described.select("id", "n", "sketch"), "id")
         .select("sign", "block", "id", "component", "n", "guest", "minor", "sketch")
-        .groupBy("sign", "block").applyInArrow(_met(percent), "a long, b long, n_b long").distinct()
+        .repartition("sign", "block").sortWithinPartitions("sign", "block", "id")
+        .mapInArrow(trimmed(_met(percent)), "a long, b long").distinct()
     )
 
 
@@ -473,7 +530,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
     pairs = materialize(_plausible(pairs, usable, percent), "pairs")
     links = materialize(_confirmed(pairs, docs, percent).union(copies), "links")
     named = materialize(components(links).toDF("id", "component"), "components")
-    more = _confirmed(materialize(_across(members, named, usable, percent), "across"), docs, percent)
+    across = materialize(_across(members, named, usable, percent), "across")
+    more = _confirmed(materialize(_plausible(across, usable, percent), "pairs"), docs, percent)
     whole = named.join(
         components(
             more.join(named.toDF("a", "left"), "a", "left").join(named.toDF("b", "right"), "b", "left")

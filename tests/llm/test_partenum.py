@@ -34,6 +34,7 @@ def test_chains_and_short_texts(spark, monkeypatch):
     monkeypatch.setattr(partenum, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(partenum, "STAR", 500)
     monkeypatch.setattr(partenum, "PIECE", 20_000)
+    monkeypatch.setattr(partenum, "SMALL", 5)
     rnd, rows = random.Random(5), []
     for base in range(3):
         text = [f"t{base}w{n}" for n in range(120)]
