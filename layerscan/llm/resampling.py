@@ -250,23 +250,23 @@ WITH RECURSIVE texts AS (
 ), vocabulary AS (
   SELECT word, hex(encode(word)) AS bytes FROM (SELECT word FROM occurrences UNION SELECT word FROM target_words)
 ), crcs AS (
-  SELECT word, bytes, 1 AS at, 4294967295::BIGINT AS c FROM vocabulary
+  SELECT word, bytes, 1 AS place, 4294967295::BIGINT AS c FROM vocabulary
   UNION ALL
-  SELECT word, bytes, at + 2, xor(crcs.c // 256, t.c)
-  FROM crcs JOIN crc_table t ON t.i = xor(crcs.c % 256, ('0x' || substr(bytes, at, 2))::BIGINT)
-  WHERE at < length(bytes)
+  SELECT word, bytes, place + 2, xor(crcs.c // 256, t.c)
+  FROM crcs JOIN crc_table t ON t.i = xor(crcs.c % 256, ('0x' || substr(bytes, place, 2))::BIGINT)
+  WHERE place < length(bytes)
 ), hashed AS (
-  SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM crcs WHERE at > length(bytes)
+  SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM crcs WHERE place > length(bytes)
 ), corpus AS (
   SELECT bucket, count(*) AS s FROM occurrences JOIN hashed USING (word) GROUP BY bucket
 ), target AS (
   SELECT bucket, count(*) AS t FROM target_words JOIN hashed USING (word) GROUP BY bucket
 ), totals AS (
-  SELECT coalesce((SELECT sum(s) FROM corpus), 0)::DOUBLE AS s, coalesce((SELECT sum(t) FROM target), 0)::DOUBLE AS t
+  SELECT coalesce((SELECT sum(s) FROM corpus), 0)::DOUBLE AS all_s, coalesce((SELECT sum(t) FROM target), 0)::DOUBLE AS all_t
 ), gain AS (
-  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (totals.s + 10000))
-    / ((coalesce(corpus.s, 0) + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS gain
-  FROM corpus FULL JOIN target USING (bucket), totals
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000))
+    / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM corpus FULL JOIN target USING (bucket) CROSS JOIN totals
 ), weights AS (
   SELECT r, sum(gain)::BIGINT AS weight FROM occurrences JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r
 ), scored AS (
