@@ -8,31 +8,42 @@ Both serve pixel tables; ``operators.bands`` serves packed frames.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerscan.functions.pixel import is_candidate, is_outlier
-from layerscan.operators.layers import has_full_window, layer_window
+from layerscan.operators.cells import CELL, NOWHERE, NULL, Places, packed_cells, runs, with_blocks
+from layerscan.operators.layers import has_full_window, layer_chunks, layer_window
 from layerscan.params import Params
 from layerscan.schema import FRAME
 
+#: Pixels whose lists of neighbours go in one Arrow batch.
+LISTED = 4096
+
+
+def _offsets(params: Params) -> list[tuple[int, int, int]]:
+    """(layers back, dx, dy) of every offset, by layers back."""
+    span = range(-params.reach, params.reach + 1)
+    return [
+        (back, dx, dy)
+        for back in range(params.window_size)
+        for dy in span
+        for dx in span
+        if abs(dx) + abs(dy) + back <= params.reach
+    ]
+
 
 def _offset_array(params: Params) -> str:
     """SQL text of the constant array of (kind, layer_offset, dx, dy)."""
-    span = range(-params.reach, params.reach + 1)
     cells = []
-    for back in range(params.window_size):
-        for dy in span:
-            for dx in span:
-                distance = abs(dx) + abs(dy) + back
-                if distance <= params.reach:
-                    kind = "close" if distance <= params.distance_factor else "outer"
-                    cells.append(
-                        f"named_struct('kind', '{kind}', 'layer_offset', {back}, "
-                        f"'dx', {dx}, 'dy', {dy})"
-                    )
+    for back, dx, dy in _offsets(params):
+        kind = "close" if abs(dx) + abs(dy) + back <= params.distance_factor else "outer"
+        cells.append(f"named_struct('kind', '{kind}', 'layer_offset', {back}, 'dx', {dx}, 'dy', {dy})")
     return f"array({', '.join(cells)})"
 
 
@@ -41,38 +52,54 @@ def stencil_offsets(spark: SparkSession, params: Params = Params()) -> DataFrame
     return spark.range(1).selectExpr(f"inline({_offset_array(params)})")
 
 
+def neighbour_lists(pixels: DataFrame, params: Params = Params()) -> DataFrame:
+    """Candidate pixels of full windows, each with the list ``near`` of its neighbours.
+
+    The list has the stencil offset's number and ``n_temp`` of every neighbour.
+    A pixel meets its neighbours in its block (key, chunk of layers, square of
+    ``band_rows`` pixels with a halo), so pixels are shuffled, packed, and their
+    pairs are not. Of a block three layers are held at a time.
+    """
+    side, reach, keys = params.band_rows, params.reach, list(params.key_cols)
+    kept = list(dict.fromkeys([*keys, *FRAME]))
+    group = [*keys, "chunk", "block_y", "block_x"]
+    ours = F.col("chunk") == F.floor((F.col("seq") - 1) / params.chunk_layers)
+    chosen = F.col("own") & ours & has_full_window(params) & is_candidate(F.col("temp"), params)
+    dealt = (
+        with_blocks(pixels.select(*kept, "x", "y", "temp").filter(F.col("seq").isNotNull()), side, reach)
+        .withColumn("chunk", F.explode(layer_chunks(params)))
+        .withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    )
+    columns = [*kept, "chunk", "block_y", "block_x"]
+    packed = packed_cells(dealt, columns, ["x", "y", "temp", "chosen"])
+    ordered = packed.repartition(*group).sortWithinPartitions(*group, "seq")
+    near = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n_temp", T.LongType())]))
+    schema = T.StructType([*(pixels.schema[c] for c in (*kept, "x", "y")), T.StructField("near", near)])
+    return ordered.mapInArrow(lambda batches: _list_batches(batches, group, kept, params), schema)
+
+
 def neighbour_pairs(pixels: DataFrame, params: Params = Params()) -> DataFrame:
     """Candidate pixels of full windows next to every neighbour they have.
 
     One row per pixel and stencil offset; ``n_temp`` is null for a neighbour
     that is off the grid or, on sparse pixels, missing.
     """
-    targets = (
-        pixels.filter(has_full_window(params) & is_candidate(F.col("temp"), params))
-        .selectExpr(*FRAME, "x", "y", f"inline({_offset_array(params)})")
-        .selectExpr(
-            "*", "seq - layer_offset as n_seq", "x + dx as n_x", "y + dy as n_y"
+    offset = F.element_at(F.expr(_offset_array(params)), F.col("slot") + 1)
+    return (
+        neighbour_lists(pixels, params)
+        .select(*FRAME, "x", "y", F.inline("near"))
+        .select(
+            *FRAME, "x", "y", *(offset[c].alias(c) for c in ("kind", "layer_offset", "dx", "dy")), "n_temp"
         )
     )
-    neighbours = pixels.selectExpr(
-        *params.key_cols,
-        "seq as n_seq",
-        "x as n_x",
-        "y as n_y",
-        "cast(temp as bigint) as n_temp",
-    )
-    # The estimate of exploded pixels is far too low to base a broadcast on.
-    return targets.join(neighbours.hint("merge"), [*params.key_cols, "n_seq", "n_x", "n_y"], "left").select(
-        *FRAME, "x", "y", "kind", "layer_offset", "dx", "dy", "n_temp"
-    )
 
 
 def neighbour_join(pixels: DataFrame, params: Params = Params()) -> DataFrame:
     """Sums of both neighbourhoods by joining each pixel to each neighbour.
 
     A missing neighbour adds nothing to the sum but counts in the
-    denominator. Each candidate pixel expands to one row per offset, so this
-    form is for cross-checks and sparse data.
+    denominator. Each candidate pixel expands to one row per offset where its
+    block lies, so this form is for cross-checks and sparse data.
     """
 
     def total(kind: str) -> Column:
@@ -183,3 +210,55 @@ def outlier_rows(pixels: DataFrame, params: Params = Params()) -> DataFrame:
     return means.filter(flagged).select(
         *FRAME, "x", "y", "close_mean", "outer_mean", "deviation"
     )
+
+
+def _list_batches(
+    batches: Iterator[pa.RecordBatch], group: Sequence[str], kept: Sequence[str], params: Params
+) -> Iterator[pa.RecordBatch]:
+    """Neighbours of the chosen cells of each block, layer by layer."""
+    reach, keys = params.reach, len(params.key_cols)
+    side = params.band_rows + 2 * reach
+    steps = [np.array([dy * side + dx for b, dx, dy in _offsets(params) if b == n]) for n in range(params.window_size)]
+    held: list[tuple[tuple, int, Places, np.ndarray]] = []
+    for key, rows, cells, row in runs(batches, [*group, "seq"], 4):
+        block, seq = key[:-1], key[-1]
+        box = (block[-1] * params.band_rows - reach, block[-2] * params.band_rows - reach, side)
+        known = (cells[:, 0] != NULL) & (cells[:, 1] != NULL)
+        # A null key equals no key, and a pixel without a place is next to none.
+        seen = cells[known] if None not in block[:keys] else cells[:0]
+        places = Places(seen[:, 0], seen[:, 1], box)
+        held = [h for h in held if h[0] == block and h[1] >= seq - params.history]
+        held.append((block, seq, places, seen[places.order, 2]))
+        by_back = {seq - at: (found, temps) for _, at, found, temps in held}
+        chosen = np.flatnonzero(cells[:, 3] == 1)
+        for start in range(0, len(chosen), LISTED):
+            here = chosen[start : start + LISTED]
+            x, y = cells[here, 0].astype(np.int64), cells[here, 1].astype(np.int64)
+            placed = known[here][:, None]
+            place = np.where(placed, ((y - box[1]) * side + (x - box[0]))[:, None], 0)
+            counts, firsts, temps, base = [], [], [np.empty(0, CELL)], 0
+            for back, step in enumerate(steps):
+                found, values = by_back.get(back, (NOWHERE, np.empty(0, CELL)))
+                at = np.where(placed & found.any, place + step, 0)
+                counts.append(np.where(placed & found.any, found.count[at], 0))
+                firsts.append(found.first[at] + base)
+                temps.append(values)
+                base += len(values)
+            near = _near(np.hstack(counts), np.hstack(firsts), np.concatenate(temps))
+            own = [pa.array(c, pa.int32(), mask=c == NULL) for c in (cells[here, 0], cells[here, 1])]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.select(kept).take(pa.array(row[here])).columns, *own, near], names=[*kept, "x", "y", "near"]
+            )
+
+
+def _near(count: np.ndarray, first: np.ndarray, temps: np.ndarray) -> pa.Array:
+    """Lists of (slot, n_temp) from the places of each slot's neighbours; without any, a null."""
+    times = np.maximum(count, 1)
+    sizes, times = times.sum(axis=1), times.ravel()
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    slot = np.repeat(np.tile(np.arange(count.shape[1], dtype=np.int32), len(count)), times)
+    there = np.repeat(count.ravel() > 0, times)
+    values = np.full(len(slot), NULL, np.int64)
+    values[there] = temps[(np.repeat(first.ravel(), times) + turn)[there]]
+    pairs = pa.StructArray.from_arrays([pa.array(slot), pa.array(values, mask=values == NULL)], names=["slot", "n_temp"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pairs)

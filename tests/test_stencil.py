@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from brute import flagged, frames_df, random_images
@@ -14,6 +16,7 @@ from layerscan.operators.pixels import (
 )
 from layerscan.operators.stencil import (
     neighbour_join,
+    neighbour_pairs,
     offset_profile,
     outlier_rows,
     stencil_offsets,
@@ -166,3 +169,40 @@ def test_bands_hold_a_halo(spark):
     bands = split_bands(frames, Params(band_rows=8)).orderBy("band")
     found = bands.select("band", "top", F.expr("length(rows) div 6")).collect()
     assert [tuple(r) for r in found] == [(0, 0, 12), (1, 4, 16), (2, 12, 8)]
+
+
+def sparse_pixels(spark):
+    """Pixels with a hole, one that comes twice, a negative place and a null key, over block edges."""
+    rows = [
+        (key, 0, seq, seq, seq, x, y, 6000 + 100 * seq + 10 * x + y)
+        for key in ("p", None)
+        for seq in (1, 2, 3, 4)
+        for x in range(-2, 12)
+        for y in range(9)
+        if (x, y, seq) != (3, 3, 2)
+    ]
+    rows += [("p", 0, 2, 2, 2, 5, 5, 7000), ("p", 0, 3, 3, 3, None, 4, 8000)]
+    schema = "print_id string, tile_id int, layer int, batch_id int, seq int, x int, y int, temp int"
+    return rows, spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_neighbours_meet_in_blocks(spark, capsys):
+    """Pairs equal a nested loop over the rows, and none of them is shuffled."""
+    rows, pixels = sparse_pixels(spark)
+    params, offsets = Params(band_rows=5, chunk_layers=2), stencil_offsets(spark).collect()
+    at = {}
+    for r in rows:
+        if r[0] is not None and r[5] is not None:
+            at.setdefault((r[0], r[4], r[5], r[6]), []).append(r[7])
+    expected = Counter(
+        (*r[:7], o.kind, o.layer_offset, o.dx, o.dy, temp)
+        for r in rows
+        if r[4] >= 3
+        for o in offsets
+        for temp in at.get((r[0], r[4] - o.layer_offset, r[5] if r[5] is None else r[5] + o.dx, r[6] + o.dy), [None])
+    )
+    pairs = neighbour_pairs(pixels, params)
+    assert Counter(tuple(r) for r in pairs.collect()) == expected
+    neighbour_join(pixels, params).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "hashpartitioning(print_id" in plan
