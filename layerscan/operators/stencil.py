@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,9 @@ from layerscan.operators.layers import has_full_window, layer_chunks, layer_wind
 from layerscan.params import Params
 from layerscan.schema import FRAME
 
+#: Columns of a pixel itself, and of its neighbourhoods.
+PIXEL = ("x", "y", "temp")
+TOTALS = ("close_sum", "outer_sum")
 #: Pixels whose lists of neighbours go in one Arrow batch.
 LISTED = 4096
 
@@ -130,55 +133,50 @@ def diamond_sums(
 ) -> DataFrame:
     """Add ``d0 .. dn``: sums over ``|dx| + |dy| <= r`` inside the image.
 
-    The grid must be dense. One shuffle brings an image together (its size
-    is bounded by the image); both windows then run on that partitioning.
+    The grid must be dense. One shuffle brings the pixels of a block and its
+    halo together, packed; a task sums one block at a time.
     """
-    radii = range(params.reach + 1)
-    row = Window.partitionBy(*image, "y").orderBy("x")
-    column = Window.partitionBy(*image, "x").orderBy("y")
-    temp = F.col("temp").cast("bigint")
-    runs = pixels.repartition(*(F.col(c) for c in image)).select(
-        *pixels.columns,
-        *(F.sum(temp).over(row.rangeBetween(-k, k)).alias(f"run_{k}") for k in radii),
-    )
+    sums = [f"d{r}" for r in range(params.reach + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cells, row, found in _summed(batches, image, params):
+            yield _pixel_batch(rows.select(others), row, dict(zip([*PIXEL, *sums], [*cells.T, *found])))
+
+    others = [c for c in pixels.columns if c not in PIXEL]
+    schema = _pixel_schema(pixels, others, sums)
+    return _of_types(_blocks(pixels, image, others, params).mapInArrow(run, schema), pixels, sums)
+
 
-    def diamond(radius: int) -> Column:
-        total = F.col(f"run_{radius}")
-        for dy in range(1, radius + 1):
-            run = f"run_{radius - dy}"
-            total += F.lag(run, dy, 0).over(column) + F.lead(run, dy, 0).over(column)
-        return total.alias(f"d{radius}")
+def packed_sums(pixels: DataFrame, params: Params = Params()) -> DataFrame:
+    """The sums of ``diamond_sums``, one row per block: its ``cells`` by place and their ``sums``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cells, _, found in _summed(batches, FRAME, params):
+            packed = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (cells, found)]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.select([*others, "block_y", "block_x"]).slice(0, 1).columns, *packed],
+                names=[*others, "block_y", "block_x", "cells", "sums"],
+            )
 
-    return runs.select(*pixels.columns, *(diamond(r) for r in radii))
+    others = [c for c in pixels.columns if c not in PIXEL]
+    blocks = _blocks(pixels, FRAME, others, params)
+    packed = [T.StructField(c, T.BinaryType()) for c in ("cells", "sums")]
+    schema = T.StructType([*(blocks.schema[c] for c in (*others, "block_y", "block_x")), *packed])
+    return blocks.mapInArrow(run, schema)
 
 
 def neighbour_sums(pixels: DataFrame, params: Params = Params()) -> DataFrame:
     """``close_sum`` and ``outer_sum`` of every pixel, from diamond sums.
 
-    Each layer is summed once; the windows that hold it share its sums.
+    Each layer is summed once; the windows that hold it share its sums. They
+    stay packed until the layers are combined. Columns besides the pixel's own
+    belong to the image.
     """
-    radii = sorted({r for _, *pair in params.stencil_radii() for r in pair if r >= 0})
-    sums = [f"d{r}" for r in radii]
-    layers = layer_window(
-        diamond_sums(pixels, params).select(*pixels.columns, *sums),
-        sums,
-        params,
-        within=("x", "y"),
-    )
-
-    def layer_sum(back: int, radius: int) -> Column:
-        if radius < 0:
-            return F.lit(0)
-        column = f"d{radius}" if back == 0 else f"earlier_{back}.d{radius}"
-        return F.coalesce(F.col(column), F.lit(0))
-
-    close = outer = F.lit(0)
-    for back, close_radius, outer_radius in params.stencil_radii():
-        inner = layer_sum(back, close_radius)
-        close += inner
-        outer += layer_sum(back, outer_radius) - inner
-    return layers.select(
-        *pixels.columns, close.alias("close_sum"), outer.alias("outer_sum")
+    others = [c for c in pixels.columns if c not in PIXEL]
+    layers = layer_window(packed_sums(pixels, params), ["cells", "sums"], params, within=("block_y", "block_x"))
+    schema = _pixel_schema(pixels, others, TOTALS)
+    return _of_types(
+        layers.mapInArrow(lambda batches: _combined(batches, others, params), schema), pixels, TOTALS
     )
 
 
@@ -262,3 +260,111 @@ def _near(count: np.ndarray, first: np.ndarray, temps: np.ndarray) -> pa.Array:
     values[there] = temps[(np.repeat(first.ravel(), times) + turn)[there]]
     pairs = pa.StructArray.from_arrays([pa.array(slot), pa.array(values, mask=values == NULL)], names=["slot", "n_temp"])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pairs)
+
+
+def _blocks(pixels: DataFrame, image: Sequence[str], others: Sequence[str], params: Params) -> DataFrame:
+    """Packed pixels of each block of an image with its halo, in sorted partitions."""
+    group = [*image, "block_y", "block_x"]
+    dealt = with_blocks(pixels, params.band_rows, params.reach)
+    packed = packed_cells(dealt, [*others, "block_y", "block_x"], [*PIXEL, "own"])
+    return packed.repartition(*group).sortWithinPartitions(*group)
+
+
+def _pixel_schema(pixels: DataFrame, others: Sequence[str], sums: Sequence[str]) -> T.StructType:
+    return T.StructType(
+        [pixels.schema[c] for c in others]
+        + [T.StructField(c, T.IntegerType()) for c in PIXEL]
+        + [T.StructField(c, T.LongType()) for c in sums]
+    )
+
+
+def _of_types(rows: DataFrame, pixels: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Columns in the order and of the types of ``pixels``, and the sums."""
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in pixels.schema), *sums)
+
+
+def _pixel_batch(rows: pa.RecordBatch, row: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Pixel rows, each with the columns of its row among ``rows``."""
+    own = [
+        pa.array(c, pa.int32(), mask=c == NULL) if n in PIXEL else pa.array(c, pa.int64()) for n, c in columns.items()
+    ]
+    return pa.RecordBatch.from_arrays([*rows.take(pa.array(row)).columns, *own], names=[*rows.schema.names, *columns])
+
+
+def _summed(
+    batches: Iterator[pa.RecordBatch], image: Sequence[str], params: Params
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block its rows, its own cells by place, the row of each, and their sums (radius x cell)."""
+    reach = params.reach
+    for _, rows, cells, row in runs(batches, [*image, "block_y", "block_x"], 4):
+        if not (cells[:, 3] == 1).any():
+            continue
+        known = (cells[:, 0] != NULL) & (cells[:, 1] != NULL)
+        x, y = (c.astype(np.int64) for c in cells.T[:2])
+        left, top = (c[known].min(initial=0 if not known.any() else c[known][0]) for c in (x, y))
+        wide, high = (c[known].max(initial=b) - b + 1 for c, b in ((x, left), (y, top)))
+        canvas = np.zeros((high + 2 * reach, wide + 2 * reach), np.int64)
+        usable = known & (cells[:, 2] != NULL)
+        np.add.at(canvas, (y[usable] - top + reach, x[usable] - left + reach), cells[usable, 2])
+        order = np.lexsort((x, y))
+        order = order[cells[order, 3] == 1]
+        found = np.repeat(cells[None, order, 2].astype(np.int64), reach + 1, axis=0)
+        placed = known[order]
+        at = order[placed]
+        found[:, placed] = _diamonds(canvas, params)[:, y[at] - top, x[at] - left]
+        yield rows, cells[order, :3], row[order], found
+
+
+def _diamonds(canvas: np.ndarray, params: Params) -> np.ndarray:
+    """Sums over diamonds of each radius inside the margins of the canvas."""
+    reach = params.reach
+    high, wide = canvas.shape[0] - 2 * reach, canvas.shape[1] - 2 * reach
+    before = np.pad(np.cumsum(canvas, axis=1), ((0, 0), (1, 0)))
+    row_runs = [before[:, reach + k + 1 :][:, :wide] - before[:, reach - k :][:, :wide] for k in range(reach + 1)]
+    out = np.zeros((reach + 1, high, wide), np.int64)
+    for radius in range(reach + 1):
+        for dy in range(-radius, radius + 1):
+            out[radius] += row_runs[radius - abs(dy)][reach + dy : reach + dy + high]
+    return out
+
+
+def _combined(batches: Iterator[pa.RecordBatch], others: Sequence[str], params: Params) -> Iterator[pa.RecordBatch]:
+    """Close and outer sums of the cells of each block from the sums of its layers."""
+    radii = params.reach + 1
+
+    def unpacked(cells: pa.Array, sums: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return (
+            np.frombuffer(cells[i].as_buffer(), CELL).reshape(-1, len(PIXEL)),
+            np.frombuffer(sums[i].as_buffer(), np.int64).reshape(radii, -1),
+        )
+
+    for batch in batches:
+        rows = batch.select(list(others))
+        held = [(None, batch.column("cells"), batch.column("sums"))]
+        for back in range(1, params.window_size):
+            layer = batch.column(f"earlier_{back}")
+            held.append((layer, layer.field("cells"), layer.field("sums")))
+        for i in range(batch.num_rows):
+            cells = unpacked(*held[0][1:], i)[0]
+            close, outer = np.zeros((2, len(cells)), np.int64)
+            for back, close_radius, outer_radius in params.stencil_radii():
+                layer, *packed = held[back]
+                if layer is not None and not layer[i].is_valid:
+                    continue
+                there, sums = unpacked(*packed, i)
+                mine, at = _same_places(cells, there)
+                inner = sums[close_radius, at] if close_radius >= 0 else 0
+                close[mine] += inner
+                outer[mine] += sums[outer_radius, at] - inner
+            yield _pixel_batch(
+                rows.slice(i, 1), np.zeros(len(cells), np.int64), {**dict(zip(PIXEL, cells.T)), "close_sum": close, "outer_sum": outer}
+            )
+
+
+def _same_places(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray | slice, np.ndarray | slice]:
+    """Which cells have a cell of the other layer at their place, and which one; both go by place."""
+    if np.array_equal(mine[:, :2], other[:, :2]):
+        return slice(None), slice(None)
+    own, there = (c[:, 1].astype(np.int64) << 32 | c[:, 0].astype(np.int64) & 0xFFFFFFFF for c in (mine, other))
+    _, a, b = np.intersect1d(own, there, return_indices=True)
+    return a, b

@@ -15,7 +15,9 @@ from layerscan.operators.pixels import (
     saturated_count,
 )
 from layerscan.operators.stencil import (
+    diamond_sums,
     neighbour_join,
+    neighbour_means,
     neighbour_pairs,
     offset_profile,
     outlier_rows,
@@ -206,3 +208,31 @@ def test_neighbours_meet_in_blocks(spark, capsys):
     neighbour_join(pixels, params).explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" not in plan and "hashpartitioning(print_id" in plan
+
+
+def test_sums_move_packed_blocks(spark, capsys):
+    """Sums of a dense grid of several blocks equal the definition; no pixel row is shuffled or sorted."""
+    stack = random_images(5, 4, 13, 17)
+    pixels = pixel_rows(arrival_seq(frames_df(spark, numbered({"p": stack, None: stack})))).repartition(3)
+    params = Params(band_rows=6, chunk_layers=2)
+    sums = diamond_sums(pixels, params)
+    assert sums.columns == [*pixels.columns, *(f"d{r}" for r in range(5))]
+    around = [(r, dx, dy) for r in range(5) for dx in range(-r, r + 1) for dy in range(abs(dx) - r, r - abs(dx) + 1)]
+    rows = sums.collect()
+    assert len(rows) == 2 * 4 * 13 * 17
+    for row in rows[::7]:
+        expected = [0] * 5
+        for r, dx, dy in around:
+            x, y = row.x + dx, row.y + dy
+            expected[r] += int(stack[row.layer][y, x]) if 0 <= x < 17 and 0 <= y < 13 else 0
+        assert [row[f"d{r}"] for r in range(5)] == expected
+    plain = {(r.seq, r.x, r.y): (r.close_sum, r.outer_sum) for r in neighbour_join(pixels, params).filter("print_id = 'p'").collect()}
+    found = neighbour_means(pixels, params)
+    for name in ("p", None):
+        of_print = found.filter(F.col("print_id").eqNullSafe(F.lit(name))).collect()
+        assert len(of_print) == 4 * 13 * 17
+        assert {k: v for r in of_print if (k := (r.seq, r.x, r.y)) in plain for v in [(r.close_sum, r.outer_sum)]} == plain
+    found.explain()
+    plan = capsys.readouterr().out.split("MapInArrow")
+    # Above the step that packs, only packed rows are exchanged and sorted.
+    assert len(plan) > 3 and all("Window" not in part or "cells" in part for part in plan)
