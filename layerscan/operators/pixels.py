@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerscan.functions.packed import pack_images, unpack_temps
 from layerscan.functions.pixel import is_candidate, is_saturated
+from layerscan.operators.cells import CELL, NULL, packed_cells, runs
 from layerscan.params import Params
 from layerscan.schema import FRAME, IMAGE
 
+#: Columns of a pixel itself.
+PIXEL = ("x", "y", "temp")
+#: Pixels of a dense grid that go in one Arrow batch.
+DENSE_ROWS = 1 << 16
+
 
 def frames_from_pixels(
     pixels: DataFrame, width: int, height: int, image: Sequence[str] = IMAGE
@@ -58,24 +66,42 @@ def densify(
 ) -> DataFrame:
     """Full grids of pixel rows, with zeros where ``pixels`` has none.
 
-    Zero rows are added and merged by one aggregation, which combines them
-    before the shuffle; no join. ``margin`` extends a grid to the right and
+    The pixels of an image are packed and meet in one task, an image at a time,
+    where the zeros are added. ``margin`` extends a grid to the right and
     downwards for keys whose images differ in size.
     """
-    columns = F.sequence(F.lit(0), F.lit(width) + F.lit(margin - 1))
-    rows = F.sequence(F.lit(0), F.lit(height) + F.lit(margin - 1))
-    zeros = (
-        pixels.groupBy(*image)
-        .agg(F.count(F.lit(1)).alias("filled"))
-        .select(*image, F.explode(rows).alias("y"))
-        .select(*image, F.explode(columns).alias("x"), "y", F.lit(0).alias("temp"))
-    )
-    return (
-        pixels.select(*image, "x", "y", "temp")
-        .unionByName(zeros)
-        .groupBy(*image, "x", "y")
-        .agg(F.max("temp").alias("temp"))
-    )
+    sides = [(F.lit(side) + F.lit(margin)).cast("int") for side in (width, height)]
+    packed = packed_cells(pixels.select(*image, "x", "y", "temp"), list(image), PIXEL)
+    ordered = packed.repartition(*image).sortWithinPartitions(*image)
+    sized = ordered.select(*image, sides[0].alias("columns"), sides[1].alias("rows"), "cells")
+    schema = T.StructType([*(pixels.schema[c] for c in image), *(T.StructField(c, T.IntegerType()) for c in PIXEL)])
+    dense = sized.mapInArrow(lambda batches: _dense(batches, list(image)), schema)
+    return dense.select(*image, *(F.col(c).cast(pixels.schema[c].dataType) for c in ("x", "y")), "temp")
+
+
+def _dense(batches: Iterator[pa.RecordBatch], image: list[str]) -> Iterator[pa.RecordBatch]:
+    for _, rows, cells, _ in runs(batches, image, len(PIXEL)):
+        wide, high = (rows.column(c)[0].as_py() or 0 for c in ("columns", "rows"))
+        x, y = cells[:, 0], cells[:, 1]
+        inside = (x >= 0) & (x < wide) & (y >= 0) & (y < high)
+        grid = np.zeros(max(wide, 0) * max(high, 0), CELL)
+        np.maximum.at(grid, y[inside].astype(np.int64) * wide + x[inside], cells[inside, 2])
+        for start in range(0, len(grid), DENSE_ROWS):
+            place = np.arange(start, min(start + DENSE_ROWS, len(grid)))
+            yield _rows_of(rows, image, place % wide, place // wide, grid[place])
+        # Pixels off the grid stay as they are.
+        beyond, at = np.unique(cells[~inside, :2], axis=0, return_inverse=True)
+        if len(beyond):
+            temps = np.full(len(beyond), NULL, CELL)
+            np.maximum.at(temps, at.ravel(), cells[~inside, 2])
+            yield _rows_of(rows, image, *beyond.T, temps)
+
+
+def _rows_of(rows: pa.RecordBatch, image: list[str], *numbers: np.ndarray) -> pa.RecordBatch:
+    """Pixel rows of the image that ``rows`` are of."""
+    kept = rows.select(image).take(pa.array(np.zeros(len(numbers[0]), np.int64)))
+    own = [pa.array(c, pa.int32(), mask=c == NULL) for c in numbers]
+    return pa.RecordBatch.from_arrays([*kept.columns, *own], names=[*image, *PIXEL])
 
 
 def saturated_count(

@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 from layerscan.functions.pixel import is_candidate, is_outlier
 from layerscan.operators.cells import CELL, NOWHERE, NULL, Places, packed_cells, runs, with_blocks
 from layerscan.operators.layers import has_full_window, layer_chunks, layer_window
+from layerscan.operators.pixels import PIXEL
 from layerscan.params import Params
 from layerscan.schema import FRAME
 
-#: Columns of a pixel itself, and of its neighbourhoods.
-PIXEL = ("x", "y", "temp")
+#: Sums of a pixel's neighbourhoods.
 TOTALS = ("close_sum", "outer_sum")
 #: Pixels whose lists of neighbours go in one Arrow batch.
 LISTED = 4096

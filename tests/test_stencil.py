@@ -236,3 +236,22 @@ def test_sums_move_packed_blocks(spark, capsys):
     plan = capsys.readouterr().out.split("MapInArrow")
     # Above the step that packs, only packed rows are exchanged and sorted.
     assert len(plan) > 3 and all("Window" not in part or "cells" in part for part in plan)
+
+
+def test_dense_grid_of_packed_images(spark, capsys):
+    """Pixels that come twice, off the grid, without place or key, in no order; pixel rows are not aggregated."""
+    rows = [("p", 0, 1, 1, 0, 0, 9), ("p", 0, 1, 1, 0, 0, 7), ("p", 0, 1, 1, 2, 1, -5), ("p", 0, 1, 1, 7, 1, 3)]
+    rows += [("p", 0, 1, 1, 7, 1, 4), ("p", 0, 1, 1, None, 1, 8), (None, None, 1, None, 1, 1, 6), ("q", 0, 1, 1, 1, 0, None)]
+    schema = "print_id string, tile_id int, layer int, batch_id int, x int, y int, temp int"
+    dense = densify(spark.createDataFrame(rows, schema).repartition(4), 3, 2)
+    expected = Counter()
+    for image in {r[:4] for r in rows}:
+        mine = {}
+        for r in rows:
+            if r[:4] == image:
+                mine.setdefault(r[4:6], []).append(r[6] or 0)
+        grid = {(x, y) for x in range(3) for y in range(2)}
+        expected.update((*image, *at, max([*mine.get(at, []), *[0][: at in grid]])) for at in grid | set(mine))
+    assert Counter(tuple(r) for r in dense.collect()) == expected
+    dense.explain()
+    assert "HashAggregate" not in capsys.readouterr().out
