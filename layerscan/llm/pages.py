@@ -5,11 +5,11 @@ host whose path has the longer prefix in common. Lines that a longest common
 subsequence aligns belong to the site, not to the page, and go. Only hashes of
 lines are sorted and compared; the text is made where the page is read.
 
-What markup tells comes first: furniture, notices, adverts, forms, scripts and
-reader comments never count, and blocks inside an ``article`` or ``main``
-element are the page's own even if a neighbour is a copy of it; where a page has
-such an element, nothing else is. Two pages that share all they have are copies
-of each other, which says nothing about the site.
+Every page is compared, and the comparison decides on every block that markup
+does not settle: furniture, notices, adverts, forms, scripts and reader comments
+never stay, and blocks inside an ``article`` or ``main`` element do even if a
+neighbour has a copy of them. Two pages that share all they have are copies of
+each other, which says nothing about the site: the other neighbour is taken.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerscan.llm.html import DROPPED, MAIN, OTHER, blocks, common_lines
+from layerscan.llm.html import DROPPED, MAIN, blocks, common_lines
 from layerscan.llm.urls import host_of, path_of
 from layerscan.session import materialize
 
-LINES = "page_id long, host string, path string, mark long, lines binary, kinds binary"
+LINES = "page_id long, host string, path string, mark long, lines binary"
 
 
 def _mark():
@@ -36,14 +36,13 @@ def _mark():
 
 def _lines(batches):
     for batch in batches:
-        lines, kinds = [], []
+        lines = []
         for page in batch.column("html"):
             found = blocks(page.as_py() or "")
             lines.append(np.array([xxhash.xxh64_intdigest(t) for t, _ in found], np.uint64).tobytes())
-            kinds.append(bytes(k for _, k in found))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "host", "path", "mark")), pa.array(lines, pa.binary()), pa.array(kinds, pa.binary())],
-            names=["page_id", "host", "path", "mark", "lines", "kinds"],
+            [*(batch.column(c) for c in ("page_id", "host", "path", "mark")), pa.array(lines, pa.binary())],
+            names=["page_id", "host", "path", "mark", "lines"],
         )
 
 
@@ -65,7 +64,7 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
         "part", F.lag("last").over(parts).alias("last_before"), F.lead("first").over(parts).alias("first_after")
     )
     return near.join(ends, "part").select(
-        *order, "lines", "kinds",
+        *order, "lines",
         F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"),
     )
 
@@ -76,13 +75,12 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep, places = [], []
-            for i, row in enumerate(batch.select(["host", "path", "lines", "kinds", "before", "after"]).to_pylist()):
-                kinds = np.frombuffer(row["kinds"], np.uint8)
-                if not row["host"] or (kinds == MAIN).any() or not (kinds == OTHER).any():
+            for i, row in enumerate(batch.select(["host", "path", "lines", "before", "after"]).to_pylist()):
+                if not row["host"]:
                     continue
                 best = None
                 for other in (row["before"], row["after"]):
-                    if other and other["host"] == row["host"]:
+                    if other and other["host"] == row["host"] and other["lines"] != row["lines"]:
                         length = len(os.path.commonprefix([other["path"], row["path"]]))
                         if best is None or length > best[0]:
                             best = (length, other["lines"])
@@ -90,7 +88,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                     continue
                 mine, theirs = (np.frombuffer(x, np.uint64).tolist() for x in (row["lines"], best[1]))
                 shared = common_lines(mine, theirs)
-                if shared and (len(shared) < len(mine) or len(mine) != len(theirs)):
+                if shared:
                     keep.append(i)
                     places.append(np.array(shared, np.int32).tobytes())
             part = batch.select(["page_id", "mark"]).take(pa.array(keep, pa.int64()))
@@ -101,12 +99,9 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, shared: bytes | None) -> str:
-    """Blocks of the main text joined by empty lines, without the shared ones."""
-    found = blocks(page)
-    if any(k == MAIN for _, k in found):
-        return "\n\n".join(t for t, k in found if k == MAIN)
+    """Blocks of the main text joined by empty lines: those that are not shared, and all of an article."""
     gone = set(np.frombuffer(shared or b"", np.int32).tolist())
-    return "\n\n".join(t for i, (t, k) in enumerate(found) if k != DROPPED and i not in gone)
+    return "\n\n".join(t for i, (t, k) in enumerate(blocks(page)) if k == MAIN or (k != DROPPED and i not in gone))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -82,6 +82,17 @@ def test_articles_of_copies_stay(spark):
     assert pages.page_report(frame(spark, [])).collect() == []
 
 
+def test_differencing_decides_on_pages_with_articles(spark):
+    """Lines outside an article go where the nearest page has them; an article stays, though copied."""
+    page = lambda own, text: f"<div>Site</div><article><p>{text}</p></article><div>{own}</div><div>All rights</div><footer>f</footer>"
+    rows = [(i, f"http://a.b/news/{i}", page(f"own {i}", text)) for i, text in ((1, "same"), (2, "same"), (3, "third"))]
+    rows += [(4, "http://c.d/x1", plain(["Site", "one"])), (5, "http://c.d/x1", plain(["Site", "one"])), (6, "http://c.d/x2", plain(["Site", "two"]))]
+    pages_ = frame(spark, rows)
+    texts = {r.page_id: r.text for r in pages.page_report(pages_).collect()}
+    assert texts == {1: "same\n\nown 1", 2: "same\n\nown 2", 3: "third\n\nown 3", 4: "Site\n\none", 5: "one", 6: "two"}
+    assert {r.page_id for r in pages.shared_lines(pages_).collect()} == {1, 2, 3, 5, 6}
+
+
 def linked(*links):
     return "<html><head>" + "".join(links) + "</head>"
 
