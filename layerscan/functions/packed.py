@@ -30,8 +30,15 @@ def unpack_temps(temps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(samples))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so that what is made of a batch at once stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def pack_images(
-    batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int = 64 << 20
+    batches: Iterator[pa.RecordBatch], size: int, chunk_bytes: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Packed images of ``size`` pixels from ``positions`` and ``temps``, zero elsewhere.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerscan.functions.packed import SAMPLE
+from layerscan.functions.packed import SAMPLE, slices
 from layerscan.operators.layers import layer_chunks, layer_window
 from layerscan.operators.stencil import with_means
 from layerscan.params import Params
@@ -171,7 +171,7 @@ def _scan_layer_batches(
 ) -> Iterator[pa.RecordBatch]:
     """Sum each band once and combine it with the sums of the layers before it."""
     held: list[tuple[int, int, np.ndarray]] = []
-    for batch in batches:
+    for batch in slices(batches):
         bands = batch.select(range(len(FRAME) - 1, batch.num_columns)).to_pylist()
         kept, saturated, flagged = [], [], [np.empty((4, 0), np.int64)]
         for i, band in enumerate(bands):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerscan.functions.packed import slices
 from layerscan.operators.records import mark_rejects, split_valid
 from layerscan.schema import MESSAGES
 from layerscan.sources.tiff import DEFLATE, BadImage, decode_image, image_error, single_strip_header
@@ -138,7 +139,7 @@ def encode_frames(frames: DataFrame, deflate: bool = False) -> DataFrame:
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         meta = batch.select([n for n in batch.schema.names if n != "tif"])
         decoded = [_decoded(p.as_buffer() if p.is_valid else None) for p in batch.column("tif")]
         widths, heights, temps, errors = zip(*decoded) if decoded else ((), (), (), ())

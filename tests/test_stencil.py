@@ -1,11 +1,12 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import flagged, frames_df, random_images
 from pyspark.sql import functions as F
 
-from layerscan.operators.bands import outliers, split_bands
+from layerscan.operators.bands import _scan_layer_batches, outliers, split_bands
 from layerscan.operators.layers import arrival_seq
 from layerscan.operators.pixels import (
     candidate_pixels,
@@ -25,6 +26,7 @@ from layerscan.operators.stencil import (
     with_means,
 )
 from layerscan.params import Params
+from layerscan.schema import FRAME
 
 
 def constant(value, n=3, side=16):
@@ -255,3 +257,12 @@ def test_dense_grid_of_packed_images(spark, capsys):
     assert Counter(tuple(r) for r in dense.collect()) == expected
     dense.explain()
     assert "HashAggregate" not in capsys.readouterr().out
+
+
+def test_scan_holds_a_part_of_a_batch():
+    """A batch of many bands is scanned and sent in parts."""
+    names = [*FRAME, "band", "own", "group", "height", "width", "top", "rows"]
+    rows = [dict(zip(names, ["p", 0, 0, i, i + 1, 0, True, 1, 2, 2, 0, bytes(8)])) for i in range(1000)]
+    parts = list(_scan_layer_batches(iter([pa.RecordBatch.from_pylist(rows)]), Params()))
+    assert max(p.num_rows for p in parts) <= 256
+    assert pa.Table.from_batches(parts).column("seq").to_pylist() == list(range(1, 1001))
