@@ -1,9 +1,9 @@
 """Neighbourhood sums over pixel rows, across space and layers.
 
 ``neighbour_join`` is the direct form: every pixel meets every stencil
-offset. ``diamond_sums`` needs no join: each layer is summed once over
-growing diamonds, and the sums of three layers combine into both means.
-Both serve pixel tables; ``operators.bands`` serves packed frames.
+offset, in its block of the image. ``diamond_sums`` needs no pairs: each layer
+is summed once over growing diamonds, and the sums of three layers combine into
+both means. Both serve pixel tables; ``operators.bands`` serves packed frames.
 """
 
 from __future__ import annotations
