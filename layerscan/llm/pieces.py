@@ -36,6 +36,8 @@ MEMORY = 24 << 20
 ENTRY_BYTES = 200
 #: Remembered pairs of neighbours.
 PAIRS = 300_000
+#: Characters of which the pieces that begin with them are remembered, and remembered ones.
+HEAD, HEADS = 4, 50_000
 OUT_BYTES = 8 << 20
 NO = -np.inf
 
@@ -49,10 +51,13 @@ class Encoder:
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) or ("\n" in p and p != "\n") for p in self.pieces):
             raise ValueError("pieces must not run across spaces or lines")
         self.bytes, self.unknown = vocabulary["bytes"], vocabulary["unknown"]
-        self.stretch = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
+        self.stretch = re.compile(f"[ {SPACE_MARK}]*[^ {SPACE_MARK}\n]+|[ {SPACE_MARK}]+|\n")
         self.score = {p: s for p, (_, s) in self.pieces.items()}
-        self.follows: dict[str, dict[str, bool]] = {}
+        self.options = {p: (len(p), p, i, {}) for p, (i, _) in self.pieces.items()}
+        self.strange: dict[str, tuple] = {}
         self.n_follows = 0
+        self.edges: dict[str, tuple | None] = {}
+        self.heads: dict[str, tuple] = {}
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
         self.older: dict[str, bytes] = {}
@@ -63,16 +68,18 @@ class Encoder:
             node = self.tree
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = True
+            node[""] = self.options[piece]
         self.plain = {i: p.replace(SPACE_MARK, " ") for i, p in self.text_of.items()}
         self.plain |= {i: chr(b) for i, b in self.byte_of.items() if b < 128}
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging: always the best pair, the first of equals."""
+    def merged(self, text: str, scores: list[float] | None = None) -> list[str]:
+        """Pieces by merging: always the best pair, the first of equals. ``scores`` takes those of the merges."""
         parts, score = list(text), self.score.get
         values = [score(x + y, NO) for x, y in zip(parts, parts[1:])]
         while values and (best := max(values)) > NO:
             at = values.index(best)
+            if scores is not None:
+                scores.append(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del values[at]
             if at:
@@ -81,20 +88,82 @@ class Encoder:
                 values[at] = score(parts[at] + parts[at + 1], NO)
         return parts
 
+    def _edges(self, piece: str) -> tuple | None:
+        """First and last parts of a piece while it is merged, each with the score of the merge
+        that takes it up, and whether scores only fall; None if merging does not make the piece."""
+        scores: list[float] = []
+        if self.merged(piece, scores) != [piece]:
+            return None
+        falls = all(x >= y for x, y in zip(scores, scores[1:]))
+        parts, score, first, last = list(piece), self.score.get, [], []
+        for best in scores:
+            at = next(i for i, (x, y) in enumerate(zip(parts, parts[1:])) if score(x + y, NO) == best)
+            if at == 0:
+                first.append((parts[0], best))
+            if at == len(parts) - 2:
+                last.append((parts[-1], best))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [*first, (piece, NO)], [*last, (piece, NO)], falls
+
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether merging leaves the two pieces as they are.
+
+        Each side merges as it does alone until a pair across the place between
+        them is the best. Where the scores of both only fall, that pair is the best
+        if it is better than the next merges of its two parts; of equals the first goes.
+        """
+        known = self.edges
+        for piece in (left, right):
+            if piece not in known:
+                if len(known) >= PAIRS:
+                    known.clear()
+                known[piece] = self._edges(piece)
+        one, two = known[left] if left in known else self._edges(left), known[right]
+        if one is None or two is None:
+            return False
+        if not (one[2] and two[2]):
+            return self.merged(left + right) == [left, right]
+        one, two, score, i, j = one[1], two[0], self.score.get, 0, 0
+        while True:
+            (x, next_x), (y, next_y) = one[i], two[j]
+            across = score(x + y, NO)
+            if across > next_x and across >= next_y:
+                return False
+            if next_x >= next_y:
+                if next_x == NO:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def may_follow(self, left: str, right: str) -> bool:
-        """Whether merging leaves the two pieces as they are."""
-        after = self.follows.get(left)
-        if after is None:
-            after = self.follows[left] = {}
-        found = after.get(right)
-        if found is None:
-            if self.n_follows >= PAIRS:
-                self.follows, self.n_follows = {left: after}, 0
-                after.clear()
-            found = after[right] = self.merged(left + right) == [left, right]
-            self.n_follows += 1
+        """Whether merging leaves the two pieces as they are, remembered for some pairs."""
+        one, two = self._option(left), self._option(right)
+        found = one[3].get(two[2])
+        return self._found(one, two) if found is None else found
+
+    def _found(self, one: tuple, two: tuple) -> bool:
+        """``may_follow`` of two options, which is then remembered."""
+        if self.n_follows >= PAIRS:
+            for option in (*self.options.values(), *self.strange.values()):
+                option[3].clear()
+            self.strange.clear()
+            self.heads.clear()
+            self.n_follows = 0
+        found = one[3][two[2]] = self._stay_apart(one[1], two[1])
+        self.n_follows += 1
         return found
 
+    def _option(self, piece: str) -> tuple:
+        """Length, piece, its name and what may follow it by name; a character without a piece is its own name."""
+        option = self.options.get(piece) or self.strange.get(piece)
+        if option is None:
+            if len(self.strange) >= HEADS:
+                self.strange.clear()
+                self.heads.clear()
+            option = self.strange[piece] = (len(piece), piece, piece, {})
+        return option
+
     def path(self, text: str, begin: int, before: str | None, stop: int, end: int) -> list[int]:
         """Length of the last piece of the path to each position from ``begin`` to
         ``end``, 0 where there is none; no piece starts at ``stop`` or later.
@@ -117,48 +186,78 @@ class Encoder:
                     break
         return size
 
-    def _lengths(self, text: str, at: int) -> list[int]:
-        """Lengths of the pieces that start at a place, and 1, in ascending order."""
-        node, out, i = self.tree.get(text[at]), [1], at + 1
-        size = len(text)
+    def _options(self, text: str, at: int) -> tuple:
+        """Options of the pieces that start at a place, and of its character, in descending order of length."""
+        head = text[at : at + HEAD]
+        found = self.heads.get(head)
+        if found is None:
+            node, options = self.tree.get(head[0]), [self._option(head[0])]
+            for c in head[1:]:
+                node = node and node.get(c)
+                if node and "" in node:
+                    options.append(node[""])
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            found = self.heads[head] = tuple(options[::-1]), node if node and len(node) > ("" in node) else None
+        options, node = found
+        if node is None:
+            return options
+        more, i, size = [], at + len(head), len(text)
         while node and i < size:
             node = node.get(text[i])
             i += 1
             if node and "" in node:
-                out.append(i - at)
-        return out
+                more.append(node[""])
+        return (*more[::-1], *options) if more else options
 
-    def search(self, text: str) -> list[str]:
-        """The path from end to end, longest pieces first, taking back what leads nowhere.
+    def search(self, text: str) -> list[tuple]:
+        """Options of the path from end to end, longest pieces first, taking back what leads nowhere.
 
         A prefix has one path, so a place that once led nowhere never does.
         """
+        # Most texts need nothing taken back.
+        at, out, after, size, heads = 0, [], None, len(text), self.heads
+        while at < size:
+            options = heads.get(text[at : at + HEAD])
+            options = options[0] if options and options[1] is None else self._options(text, at)
+            for option in options:
+                if after is None:
+                    break
+                may = after.get(option[2])
+                if may is None:
+                    may = self._found(out[-1], option)
+                if may:
+                    break
+            else:
+                return self._searched(text)
+            out.append(option)
+            at += option[0]
+            after = option[3]
+        return out
+
+    def _searched(self, text: str) -> list[tuple]:
         at, out, dead, size = 0, [], set(), len(text)
-        options, follows = [self._lengths(text, 0)], self.follows
+        left = [iter(self._options(text, 0))]
         while at < size:
-            left = options[-1]
-            while left:
-                end = at + left.pop()
+            for option in left[-1]:
+                end = at + option[0]
                 if end in dead:
                     continue
-                piece = text[at:end]
                 if out:
-                    after = follows.get(out[-1])
-                    may = after.get(piece) if after else None
+                    may = out[-1][3].get(option[2])
                     if may is None:
-                        may = self.may_follow(out[-1], piece)
-                        follows = self.follows
+                        may = self._found(out[-1], option)
                     if not may:
                         continue
-                out.append(piece)
+                out.append(option)
                 at = end
                 if at < size:
-                    options.append(self._lengths(text, at))
+                    left.append(iter(self._options(text, at)))
                 break
             else:
                 dead.add(at)
-                options.pop()
-                at -= len(out.pop())
+                left.pop()
+                at -= out.pop()[0]
         return out
 
     def walk(self, text: str, begin: int, size: list[int], end: int) -> list[str]:
@@ -184,7 +283,7 @@ class Encoder:
         return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a text that begins with the space mark."""
+        """Packed ids of a text that begins with a space; a space mark is one, too."""
         stretches = self.stretch.findall(text)
         out = list(map(self.known.get, stretches))
         if None in out:
@@ -195,7 +294,13 @@ class Encoder:
 
     def _pieces_of(self, stretch: str) -> bytes:
         """Packed ids of a stretch, remembered for two turns of MEMORY bytes."""
-        packed = self.known.get(stretch) or self.older.get(stretch) or self.ids(self.search(stretch))
+        packed = self.older.get(stretch)
+        if packed is None:
+            found = self.search(stretch.replace(" ", SPACE_MARK))
+            try:
+                packed = array("i", [option[2] for option in found]).tobytes()
+            except TypeError:  # Of a character without a piece.
+                packed = self.ids([option[1] for option in found])
         if len(stretch) < 64:
             if self.known_bytes >= MEMORY:
                 self.known, self.older, self.known_bytes = {}, self.known, 0
@@ -393,7 +498,7 @@ def encode(
             a, packed, decoded, size = 0, [], [], 0
             for i, value in enumerate(batch.column("text")):
                 value = value.as_py()
-                ids = None if value is None else encoder.encode(_marked(value))
+                ids = None if value is None else encoder.encode(" " + value if value else "")
                 packed.append(ids)
                 decoded.append(None if ids is None else encoder.decode(np.frombuffer(ids, np.int32).tolist()))
                 size += len(ids or b"")

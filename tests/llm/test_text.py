@@ -98,6 +98,33 @@ def test_max_plus_product_is_associative():
     assert (pieces.times(pieces.times(a, b), c) == pieces.times(a, pieces.times(b, c))).all()
 
 
+def test_neighbours_are_judged_without_merging_each_pair(monkeypatch):
+    merged, calls = pieces.Encoder.merged, []
+    monkeypatch.setattr(pieces.Encoder, "merged", lambda self, text, *rest: calls.append(text) or merged(self, text, *rest))
+    encoder, rnd = pieces.Encoder(read_pieces(PIECE_MODEL)), random.Random(3)
+    some = [p for p in encoder.pieces if len(p) < 5][:60]
+    found = {(x, y): encoder.may_follow(x, y) for x in some for y in some}
+    assert len(calls) <= len(some)
+    assert all(ok == (merged(encoder, x + y) == [x, y]) for (x, y), ok in found.items())
+    # Vocabularies with ties, scores that rise, and pieces that merging does not make.
+    for n in range(300):
+        names = ["a", "b", *{"".join(rnd.choice("ab") for _ in range(rnd.randint(2, 5))) for _ in range(8)}]
+        scored = {p: (i, -float(rnd.randint(1, 7))) for i, p in enumerate(names)}
+        small = pieces.Encoder({"pieces": scored, "bytes": {}, "unknown": 0})
+        assert all(small.may_follow(x, y) == (merged(small, x + y) == [x, y]) for x in names for y in names)
+
+
+def test_plain_spaces_like_marked_ones(monkeypatch):
+    monkeypatch.setattr(pieces, "PAIRS", 50)
+    monkeypatch.setattr(pieces, "HEADS", 20)
+    encoder, rnd = pieces.Encoder(read_pieces(PIECE_MODEL)), random.Random(4)
+    plain = pieces.Encoder(read_pieces(PIECE_MODEL))
+    for n in range(200):
+        text = "".join(rnd.choice([*"abcdethesnrion日🙂", " ", " ", "\n", "▁", "the", "\x00"]) for _ in range(rnd.randint(1, 60)))
+        assert encoder.encode(pieces._marked(text)) == plain.encode(" " + text)
+        assert encoder.n_follows <= 50
+
+
 def test_encode_rows(odd, none, library):
     got = pieces.encode(odd, carry=("text", "rest"), chunk=500).collect()
     assert len(got) == odd.count()
