@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from layerscan.llm.components import components
 from layerscan.llm.minhash import shingle_sets
-from layerscan.llm.words import mix, trimmed
+from layerscan.llm.words import mix, trimmed, trimmed_group
 from layerscan.session import materialize
 
 SHINGLE = 5
@@ -50,11 +50,11 @@ PIECES, OFF = 3, 1
 #: Choices of pieces of a part that are signed.
 CHOICES = [list(c) for c in combinations(range(PIECES), PIECES - OFF)]
 #: Text bytes whose signatures are joined in a task before they are sent.
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Rows whose sets are made at once.
 ROWS = 256
 #: Text bytes per bucket of signatures.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Sets in a block when a signature is taken up again.
 BLOCK = 512
 #: Features signed at once.
@@ -64,7 +64,9 @@ CELLS = 256
 #: Rows of a block that is gone through together with others.
 SMALL = 64
 #: Features in a part of a star.
-STAR = 1 << 22
+STAR = 1 << 21
+#: Bytes of full sets in a batch.
+SENT = 4 << 20
 #: Bits of the filter that spares the shuffle texts without candidates.
 FILTER_BITS = 1 << 23
 
@@ -332,7 +334,7 @@ def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFram
     side = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     joined = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long, n_b long")
+    return joined.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(trimmed(run), "a long, b long, n_b long")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -378,7 +380,7 @@ def _seated(batches):
                 for seat in seats[i].as_py():
                     rows.append((seat["star"], seat["salt"], seat["center"], ids[i], full))
                     size += len(full)
-                    if size >= 16 << 20:
+                    if size >= SENT:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                         rows, size = [], 0
     if rows:
@@ -405,12 +407,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     centers = salts.select(
         F.col("a").alias("id"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("center")
     )
+    # A broadcast join would put the filter's Python workers beside those of the sets in one stage.
     seats = materialize(
         members.union(centers).groupBy("id").agg(F.collect_list(F.struct("star", "salt", "center")).alias("seats")), "seats"
     )
-    full = _named_by(docs, seats.select("id")).join(seats, "id").select("id", "text", "seats")
+    full = _named_by(docs, seats.select("id")).join(seats.hint("merge"), "id").select("id", "text", "seats")
     full = full.mapInArrow(trimmed(_seated), "star long, salt int, center int, id long, full binary")
-    return materialize(full.groupBy("star", "salt").applyInArrow(check, "a long, b long"), "links")
+    return materialize(full.groupBy("star", "salt").applyInArrow(trimmed_group(check), "a long, b long"), "links")
 
 
 def _met(percent: int):
@@ -522,7 +525,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pe
         .select(F.col("class").alias("a"), F.col("id").alias("b"))
     )
     packed = docs.mapInArrow(trimmed(_signed(percent, buckets)), PACKED)
-    joined = materialize(packed.groupBy("bucket").applyInArrow(_joined, "a long, b long, sign long"), "joined")
+    joined = materialize(packed.groupBy("bucket").applyInArrow(trimmed_group(_joined), "a long, b long, sign long"), "joined")
     members = usable.select("id", F.explode("signs").alias("sign")).union(
         joined.where("sign is not null").select("a", "sign")
     )

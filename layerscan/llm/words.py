@@ -20,6 +20,8 @@ WORD_BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 SLICE = 1 << 18
 #: Powers of a base that a process keeps.
 KEPT_POWERS = 2 * SLICE
+#: Bytes of a group after which a worker gives freed memory back.
+LARGE_GROUP = 1 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 SPACE = np.zeros(256, bool)
@@ -58,6 +60,19 @@ def trimmed(run: Callable) -> Callable:
     return whole
 
 
+def trimmed_group(run: Callable) -> Callable:
+    """A function of the table of a group that trims its worker's memory after large groups."""
+
+    def whole(table):
+        out, size = run(table), table.nbytes
+        del table
+        if size >= LARGE_GROUP:
+            trim()
+        return out
+
+    return whole
+
+
 def kept_model(operator: str, source: object, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept by the process until another model is asked for.
 
